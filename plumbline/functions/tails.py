@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
@@ -101,16 +102,16 @@ def _both(x, y, fn) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _both(x, dof, chi2_tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _both(t, dof, student_two_sided)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else normal_two_sided(float(v)) for v in z], dtype="float64")
