@@ -13,7 +13,7 @@ CELLS = """sum((p >= {t} AND y = 1)::INT)::BIGINT AS tp, sum((p >= {t} AND y <>
   sum((p < {t} AND y <> 1)::INT)::BIGINT AS tn, sum((p < {t} AND y = 1)::INT)::BIGINT AS fn"""
 
 
-def rates(prefix: str = "") -> str:
+def rates(exact: bool = False) -> str:
     """Named rate expressions over tp, fp, tn, fn."""
     prec = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) WHEN tp + fn > 0 THEN 0 ELSE 1 END"
     rec = "CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END"
@@ -27,7 +27,7 @@ def rates(prefix: str = "") -> str:
         "fnr": "CASE WHEN fn + tp > 0 THEN fn::DOUBLE / (fn + tp) ELSE 0 END",
         "predicted_positive_rate": "(tp + fp)::DOUBLE / (tp + fp + tn + fn)",
     }
-    return ", ".join(r6(e, n) for n, e in exprs.items())
+    return ", ".join(f"({e})::DOUBLE AS {n}" if exact else r6(e, n) for n, e in exprs.items())
 
 
 CLIP = f"least(greatest(p, {dbl(P.LOG_EPS)}), 1 - {dbl(P.LOG_EPS)})"
@@ -120,8 +120,8 @@ def register(r: Registry) -> None:
     r.add(
         "pf3_best_thresholds",
         lambda s, d: rounded(P.best_thresholds(P.threshold_grid(scored_docs(s, d), "y", "p"))),
-        f"""WITH {SCORED_DOCS}, {grid_sql(P.grid(21))}, g AS (SELECT round(t, 3) AS threshold, {rates()} FROM cells),
-        b AS (SELECT *, (recall + specificity) / 2 AS bal FROM g)
+        f"""WITH {SCORED_DOCS}, {grid_sql(P.grid(21))}, g AS (SELECT round(t, 3) AS threshold, {rates()},
+        (coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0)) / 2 AS bal FROM cells), b AS (SELECT * FROM g)
         SELECT (SELECT threshold FROM b ORDER BY round(f1, 4) DESC, threshold LIMIT 1) AS best_f1_threshold, {r6('max(f1)', 'best_f1')},
         (SELECT threshold FROM b ORDER BY round(bal, 4) DESC, threshold LIMIT 1) AS best_balanced_threshold, {r6('max(bal)', 'best_balanced_accuracy')} FROM b""",
     )
