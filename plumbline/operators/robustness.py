@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -128,16 +129,21 @@ def boundary_distances(
     """
     scales = scales or scale_map(df, features)
     if isinstance(model, LinearModel):
-        start = model.column() >= t
+        # A step moves the margin by coefficient x step; the margin itself is computed once per row.
+        limit = math.log(t / (1 - t)) if model.logistic else t
+        base = df.select(*[col(k) for k in key], *[col(f).isNotNull().alias(f"_has{i}") for i, f in enumerate(features)], model.margin().alias("_z"))
         moves = []
         for v in factors:
             for i, f in enumerate(features):
-                step = [model.column({f: col(f).cast("double") + sign * v * scales[f]}) >= t for sign in (1.0, -1.0)]
-                hit = F.struct(F.lit(float(v)).alias("factor"), F.lit(i).alias("o"), F.lit(f).alias("feature"))
-                moves.append(F.when((step[0] != start) | (step[1] != start), hit))
-        # Moves are listed from the nearest on, so the first hit is the answer.
-        return df.select(*[col(k) for k in key], F.coalesce(*moves).alias("_best")).select(
-            *[col(k) for k in key], F.col("_best.feature").alias("feature"), F.col("_best.factor").alias("distance")
+                reach = abs(model.coef.get(f, 0.0)) * v * scales[f]
+                crosses = F.when(F.col("_z") >= limit, F.col("_z") - reach < limit).otherwise(F.col("_z") + reach >= limit)
+                # Moves are numbered from the nearest on, so the smallest number is the answer.
+                moves.append(F.when(F.col(f"_has{i}") & crosses, len(moves)))
+        nearest = base.select(*[col(k) for k in key], F.coalesce(*moves).alias("_move"))
+        return nearest.select(
+            *[col(k) for k in key],
+            F.get(F.array(*[F.lit(f) for f in features]), F.col("_move") % len(features)).alias("feature"),
+            F.get(F.array(*[F.lit(float(v)) for v in factors]), F.floor(F.col("_move") / len(features)).cast("int")).alias("distance"),
         )
     variants = []
     for i, f in enumerate(features):
