@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
 from plumbline.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,17 @@ def dbl(v: float) -> str:
     return f"{v:.17e}::DOUBLE"
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage that several queries read, written once to the checkpoint folder of the session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 # --- documents with labels, scored by length --------------------------------
 
 SCORED_DOCS = """scored AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import temporal as T
 
-from .common import table
+from .common import stored, table
 
 REGISTRY = "reg(metric_name, module_, higher, warning, critical) AS (VALUES " + ", ".join(
     f"('{m}', '{mod}', {str(h).lower()}, {w}::DOUBLE, {c}::DOUBLE)" for m, mod, h, w, c, _ in T.METRICS) + ")"
@@ -59,7 +59,7 @@ def normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    return T.extract_observations(normalized(spark, sf), runs(spark, sf))
+    return stored(spark, sf, "observations", lambda: T.extract_observations(normalized(spark, sf), runs(spark, sf)))
 
 
 def experiments(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,4 +112,9 @@ al AS (SELECT lineage_id, CASE status WHEN 'PERSISTENT' THEN 'PERSISTENT_DEGRADA
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     obs = observations(spark, sf)
     placed = T.run_index(runs(spark, sf))
-    return T.temporal_alerts(T.issue_tracks(obs), T.change_point(obs), T.durability(experiments(spark, sf), obs, placed))
+    build = lambda: T.temporal_alerts(tracks(spark, sf), T.change_point(obs), T.durability(experiments(spark, sf), obs, placed))
+    return stored(spark, sf, "temporal_alerts", build)
+
+
+def tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "issue_tracks", lambda: T.issue_tracks(observations(spark, sf)))
