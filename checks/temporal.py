@@ -144,8 +144,8 @@ def register(r: Registry) -> None:
     )
     r.add(
         "tm11_temporal_alerts",
-        lambda s, d: rounded(alerts(s, d)),
-        f"""WITH {ALERTS} SELECT lineage_id, alert_type, priority, target_type, target_key, metric_name, {r6('current_value', 'current_value')}, {r6('reference_value', 'reference_value')},
+        lambda s, d: rounded(alerts(s, d), 5),
+        f"""WITH {ALERTS} SELECT lineage_id, alert_type, priority, target_type, target_key, metric_name, round(current_value, 5) + 0.0 AS current_value, round(reference_value, 5) + 0.0 AS reference_value,
         confidence, source_module FROM al""",
     )
 
