@@ -32,21 +32,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return load_table(spark, f"{sf}/{name}.parquet")
 
 
+# Added before rounding on both sides: values that lie exactly on a rounding tie
+# (frequent with short decimals) then round alike whatever their last bit is.
+NUDGE = 2e-9
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles and turn -0.0 into 0.0, as the SQL side does."""
     out = []
     for f in df.schema:
         c = F.col(f.name)
         if f.dataType.typeName() == "double":
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
+            c = (F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name)
         elif f.dataType.typeName() in ("integer", "short", "byte"):
             c = c.cast("long").alias(f.name)
         out.append(c)
     return df.select(*out)
 
 
-def r6(expr: str, name: str) -> str:
-    return f"round(({expr})::DOUBLE, 6) + 0.0 AS {name}"
+def r6(expr: str, name: str, digits: int = 6) -> str:
+    return f"round(({expr})::DOUBLE + {NUDGE!r}, {digits}) + 0.0 AS {name}"
 
 
 def dbl(v: float) -> str:

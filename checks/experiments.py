@@ -78,7 +78,7 @@ def register(r: Registry) -> None:
         "ex8_threshold_counterfactual",
         lambda s, d: rounded(E.threshold_counterfactual(scored_docs(s, d), "y", "p", 0.5, 0.4), 5),
         f"""WITH {SCORED_DOCS}, {side('0.5', 'a')}, {side('0.4::DOUBLE', 'b')} """ + " UNION ALL ".join(
-            f"SELECT '{n}' AS metric, round(a.{n}, 5) + 0.0 AS baseline, round(b.{n}, 5) + 0.0 AS candidate, round(b.{n} - a.{n}, 5) + 0.0 AS delta FROM a, b" for n in names),
+            f"SELECT '{n}' AS metric, round(a.{n} + 2e-9, 5) + 0.0 AS baseline, round(b.{n} + 2e-9, 5) + 0.0 AS candidate, round(b.{n} - a.{n} + 2e-9, 5) + 0.0 AS delta FROM a, b" for n in names),
     )
     r.add(
         "ex8_threshold_curve",

@@ -91,7 +91,7 @@ def register(r: Registry) -> None:
     r.add(
         "xp1_shuffle_keeps_values",
         shuffled_sums,
-        "SELECT " + ", ".join(f"round(sum({f}), 2) + 0.0 AS s{i}_{f}" for i in range(2) for f in ("l_quantity", "l_extendedprice")) + " FROM lineitem",
+        "SELECT " + ", ".join(f"round(sum({f}) + 2e-9, 2) + 0.0 AS s{i}_{f}" for i in range(2) for f in ("l_quantity", "l_extendedprice")) + " FROM lineitem",
     )
     means = "mm AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}" for f in FEATURES) + " FROM lineitem)"
     att = " UNION ALL ".join(f"SELECT {', '.join(KEY)}, '{f}' AS feature, {f}::DOUBLE AS x, ({f} - m_{f}) * {dbl(COEF[f])} AS v FROM lineitem, mm" for f in FEATURES)

@@ -54,7 +54,7 @@ def register(r: Registry) -> None:
     r.add(
         "tm3_metric_history",
         lambda s, d: rounded(T.metric_history(observations(s, d)), 5),
-        f"""WITH {OBS}, {hist} SELECT {S}, n, """ + ", ".join(f"round({e}, 5) + 0.0 AS {n}" for e, n in (
+        f"""WITH {OBS}, {hist} SELECT {S}, n, """ + ", ".join(f"round({e} + 2e-9, 5) + 0.0 AS {n}" for e, n in (
             ("mean", "mean"), ("median", "median"), ("sd", "std"), ("CASE WHEN abs(mean) > 1e-6 THEN sd / abs(mean) ELSE 0 END", "cv"), ("mn", "min"), ("mx", "max"),
             ("latest", "latest"), ("prev", "previous"), ("latest - prev", "delta"), ("(latest - prev) / greatest(abs(prev), 1e-6)", "relative_delta"),
             ("bm", "baseline_mean"), ("bs", "baseline_std"), ("CASE WHEN bs > 1e-6 THEN (latest - bm) / bs ELSE 0 END", "standardized_latest"))) + " FROM hi",
@@ -92,8 +92,8 @@ def register(r: Registry) -> None:
     r.add(
         "tm6_change_point",
         lambda s, d: rounded(T.change_point(observations(s, d)), 5),
-        f"""WITH {OBS}, {SPLITS}, {BEST} SELECT {S}, k AS change_index, run_id, run_index::BIGINT AS run_index, round(mb, 5) + 0.0 AS before_mean, round(ma, 5) + 0.0 AS after_mean,
-        round(sh, 5) + 0.0 AS shift, round(sh / greatest(abs(mb), 1e-6), 5) + 0.0 AS relative_shift, round(z, 5) + 0.0 AS z, {CONF} AS confidence FROM cp""",
+        f"""WITH {OBS}, {SPLITS}, {BEST} SELECT {S}, k AS change_index, run_id, run_index::BIGINT AS run_index, round(mb + 2e-9, 5) + 0.0 AS before_mean, round(ma + 2e-9, 5) + 0.0 AS after_mean,
+        round(sh + 2e-9, 5) + 0.0 AS shift, round(sh / greatest(abs(mb), 1e-6) + 2e-9, 5) + 0.0 AS relative_shift, round(z + 2e-9, 5) + 0.0 AS z, {CONF} AS confidence FROM cp""",
     )
     r.add(
         "wn3_split_means",
@@ -145,7 +145,7 @@ def register(r: Registry) -> None:
     r.add(
         "tm11_temporal_alerts",
         lambda s, d: rounded(alerts(s, d), 5),
-        f"""WITH {ALERTS} SELECT lineage_id, alert_type, priority, target_type, target_key, metric_name, round(current_value, 5) + 0.0 AS current_value, round(reference_value, 5) + 0.0 AS reference_value,
+        f"""WITH {ALERTS} SELECT lineage_id, alert_type, priority, target_type, target_key, metric_name, round(current_value + 2e-9, 5) + 0.0 AS current_value, round(reference_value + 2e-9, 5) + 0.0 AS reference_value,
         confidence, source_module FROM al""",
     )
 
