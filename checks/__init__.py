@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "leakage", "drift", "performance", "fairness", "forensics", "models", "experiments", "temporal", "rules", "operations", "streams"]
+MODULES = ["quality", "leakage", "drift", "performance", "fairness", "forensics", "models", "experiments", "temporal", "rules", "operations", "streams", "joins"]
 
 
 def registry():
