@@ -12,6 +12,7 @@ from ..functions.columns import col, finite, missing, ratio
 from ..functions.cumulative import cumulative_counts, exact_quantiles, melt
 from ..functions.findings import Rule, apply_rules, health
 from ..functions.tails import chi2_p, kolmogorov
+from ..session import cut_lineage
 from .association import fdr, text_cells
 from .quality import BOOLEAN_TOKENS, value_counts
 
@@ -294,7 +295,8 @@ def drift_features(
     null = F.lit(None).cast("double")
     parts = []
     if numeric:
-        table = two_sample_counts(base, ev, numeric, slices)
+        # Read by every statistic below, so the value-level table is stored once.
+        table = cut_lineage(two_sample_counts(base, ev, numeric, slices))
         num = (
             _ks(table)
             .join(F.broadcast(_wasserstein_of(table)), "feature")
@@ -305,7 +307,7 @@ def drift_features(
                        null.alias("chi2"), "psi", F.col("ks_p").alias("p"))
         )
     if categorical:
-        counts = category_counts(base, ev, categorical)
+        counts = cut_lineage(category_counts(base, ev, categorical))
         cat = _categorical_psi(counts).join(F.broadcast(_chi2(counts)), "feature")
         parts.append(
             cat.select("feature", F.lit("CATEGORICAL").alias("kind"), "n_base", "n_eval", null.alias("ks"), null.alias("wasserstein"),

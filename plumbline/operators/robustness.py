@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, count_if, finite, gaussian, ratio, uniform
-from ..functions.cumulative import cumulative_counts, exact_quantiles, quantiles
+from ..functions.columns import col, count_if, gaussian, ratio, uniform
+from ..functions.cumulative import cumulative_counts, exact_quantiles
 from ..functions.findings import Rule, apply_rules, health
 from .performance import _auc
 from .scoring import LinearModel, Model, score
@@ -31,16 +31,15 @@ THRESHOLDS = {
 PENALTIES = {"CRITICAL": 25, "HIGH": 15, "WARNING": 5, "MEDIUM": 3, "LOW": 1}
 
 
-def feature_scales(df: DataFrame, cols: Sequence[str], slices: int = 256) -> DataFrame:
-    """Sample deviation, else IQR / 1.349, else 1."""
+def feature_scales(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Sample deviation, else 1.
+
+    An IQR fallback between the two can never apply: a deviation of zero means that
+    all values are equal, and then the IQR is zero as well.
+    """
     from .quality import numeric_summary
 
-    std = numeric_summary(df, cols).select("feature", "std")
-    q = quantiles(df, {c: finite(col(c)) for c in cols}, {"q1": 0.25, "q3": 0.75}, slices)
-    iqr = (F.col("q3") - F.col("q1")) / 1.349
-    return std.join(F.broadcast(q), "feature", "left").select(
-        "feature", F.when(F.col("std") > 0, F.col("std")).when(iqr > 0, iqr).otherwise(F.lit(1.0)).alias("scale")
-    )
+    return numeric_summary(df, cols).select("feature", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def scale_map(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
@@ -160,12 +159,19 @@ def boundary_distances(
     )
 
 
+def _distance_counts(distances: DataFrame, key: Column) -> DataFrame:
+    """Rows per distance, at most one per search factor; rows without a flip weigh nothing.
+
+    No filter on the distance: it would be pushed into the search and evaluated there again.
+    """
+    counts = distances.groupBy(key.alias("scope"), "distance").agg(F.count(F.lit(1)).alias("k"))
+    return _tiny_cumulative(counts.withColumn("k", F.when(F.col("distance").isNull(), F.lit(0)).otherwise(F.col("k"))))
+
+
 def boundary_summary(distances: DataFrame) -> DataFrame:
     """Share of rows that can be flipped; minimum, median and maximum distance."""
-    table = distances.filter(F.col("distance").isNotNull()).select(F.lit("all").alias("scope"), "distance")
-    # Distances take at most one value per search factor, so this table is tiny.
-    counts = table.groupBy("scope", "distance").agg(F.count(F.lit(1)).alias("k"))
-    middle = exact_quantiles(_tiny_cumulative(counts, "scope"), ["scope"], "distance", "k", {"median_distance": 0.5})
+    counts = _distance_counts(distances, F.lit("all"))
+    middle = exact_quantiles(counts, ["scope"], "distance", "k", {"median_distance": 0.5})
     out = distances.agg(
         F.count(F.lit(1)).alias("n"), F.count("distance").alias("flipped"),
         F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"),
@@ -174,18 +180,17 @@ def boundary_summary(distances: DataFrame) -> DataFrame:
 
 
 def boundary_features(distances: DataFrame) -> DataFrame:
-    counts = distances.filter(F.col("distance").isNotNull()).groupBy("feature", "distance").agg(F.count(F.lit(1)).alias("k"))
-    q = exact_quantiles(_tiny_cumulative(counts, "feature"), ["feature"], "distance", "k", {"median_distance": 0.5})
-    return q.select("feature", F.col("n").alias("flips"), "median_distance").orderBy(F.desc("flips"), "feature")
+    q = exact_quantiles(_distance_counts(distances, F.col("feature")), ["scope"], "distance", "k", {"median_distance": 0.5})
+    return q.select(F.col("scope").alias("feature"), F.col("n").alias("flips"), "median_distance").orderBy(F.desc("flips"), "feature")
 
 
-def _tiny_cumulative(counts: DataFrame, key: str) -> DataFrame:
+def _tiny_cumulative(counts: DataFrame) -> DataFrame:
     """Running totals of a table with at most (features x factors) rows."""
     from pyspark.sql import Window
 
-    below = Window.partitionBy(key).orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("scope").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("lt_k", F.coalesce(F.sum("k").over(below), F.lit(0))).withColumn(
-        "tot_k", F.sum("k").over(Window.partitionBy(key))
+        "tot_k", F.sum("k").over(Window.partitionBy("scope"))
     )
 
 
