@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import quality_rules as rules
+from plumbline.llm import simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,13 +34,13 @@ _STOP = ", ".join("'" + w + "'" for w in dict.fromkeys(rules.STOP_WORDS))
 QUALITY_MEASURES_SQL = rf"""
 rowsx AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
 parts AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w,
-  list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM rowsx),
+  list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM rowsx),
 grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM parts WHERE len(w) > 2)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
 cover AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
 base AS (SELECT parts.rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ln) AS n_lines, len(ln) - len(list_distinct(ln)) AS n_dup_lines,
-  length(regexp_replace(body, '[^A-Z]', '', 'g')) AS n_capitals, len(list_filter(w, x -> x IN ({_STOP}))) AS n_stop_words,
+  length(regexp_replace(body, '[^A-Z]', '', 'g')) AS n_capitals, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words,
   coalesce(n_repeat_words, 0) AS n_repeat_words FROM parts LEFT JOIN cover ON parts.rid = cover.rid),
 measured AS (SELECT *, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_ratio,
   CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS mean_word_chars,
@@ -57,3 +58,8 @@ FROM measured""")
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return rules.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
