@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import chat
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import simhash
 from plumbline.llm.storage import table
@@ -63,3 +64,35 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+_ESCAPE_SQL = (
+    r"regexp_replace(regexp_replace({0}, '<(\\*)(s|/s|r/|m/|\|[a-z_]+\|)>', '<\1\\\2>', 'g'), '\[(\\*)(/?INST)\]', '[\1\\\2]', 'g')"
+)
+
+
+@_query("op2_chat_format", rf"""WITH rowsx AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, {_ESCAPE_SQL.format("role")} AS erole, {_ESCAPE_SQL.format("text")} AS etext FROM rowsx),
+seen AS (SELECT *, coalesce(lag(erole) OVER w = erole, false) AS merged, coalesce(lead(erole) OVER w = erole, false) AS goes_on
+  FROM esc WINDOW w AS (PARTITION BY conv_id ORDER BY turn, erole, etext))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, erole, etext)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, erole, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(etext) + CASE WHEN merged THEN 4 ELSE 7 + length(erole) END + CASE WHEN goes_on THEN 0 ELSE 4 END)::BIGINT AS formatted_chars
+FROM seen GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    done = chat.format_conversations(rows.unionByName(probe)).withColumn("turns", chat.parse_formatted(F.col("formatted")))
+    done = done.withColumn("loss_text", chat.loss_text(F.col("segments")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
