@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat
 from plumbline.llm import quality_rules as rules
-from plumbline.llm import simhash
+from plumbline.llm import sharding, simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,15 @@ def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@_query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.col("text")
+    sizes = table(spark, sf, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return sharding.uniform_shards(sizes, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
