@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat
+from plumbline.llm import chat, line_templates
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import sharding, simhash
 from plumbline.llm.storage import table
@@ -108,3 +108,30 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.uniform_shards(sizes, 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+LINE_DEDUP_SQL = r"""
+l0 AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ln FROM {docs}),
+l1 AS (SELECT doc_id, text, unnest(ln) AS line, unnest(range(len(ln))) AS pos FROM l0),
+l2 AS (SELECT doc_id, text, pos, regexp_replace(trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' '), '[0-9]+|://[^\x20]*|@[^\x20]*', '<*>', 'g') AS masked FROM l1),
+lt AS (SELECT *, string_split(masked, ' ') AS tok, len(string_split(masked, ' ')) AS nt, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead
+  FROM l2 WHERE len(string_split(masked, ' ')) >= 3),
+per_line AS (SELECT nt, lead, masked, count(DISTINCT text) AS n, min(doc_id) AS id, min(pos) AS pos FROM lt GROUP BY 1, 2, 3),
+seed AS (SELECT nt, lead, first(masked ORDER BY n DESC, id, pos) AS seed FROM per_line GROUP BY 1, 2),
+kinds AS (SELECT lt.*, CASE WHEN len(list_filter(list_zip(tok, string_split(seed, ' ')), lambda z: z[1] = z[2])) >= 0.8 * nt THEN seed ELSE masked END AS kind
+  FROM lt JOIN seed USING (nt, lead)),
+recurring AS (SELECT nt, lead, kind, arg_min(text, doc_id) AS first_text FROM kinds GROUP BY 1, 2, 3 HAVING count(DISTINCT text) >= 10),
+drops AS (SELECT DISTINCT doc_id, text, pos FROM kinds JOIN recurring USING (nt, lead, kind) WHERE text <> first_text),
+dropped AS (SELECT doc_id, text, list(pos) AS gone FROM drops GROUP BY 1, 2),
+left_lines AS (SELECT d.*, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+  CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS left_text
+  FROM {docs} d LEFT JOIN dropped g ON d.doc_id = g.doc_id AND d.text = g.text)"""
+
+
+@_query("op10_line_templates", f"""WITH {LINE_DEDUP_SQL.format(docs="documents")}
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, length(coalesce(left_text, ''))::BIGINT AS n_chars, md5(coalesce(left_text, '')) AS text_md5
+FROM left_lines""")
+def op10_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    done = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    body = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length(body).cast("long").alias("n_chars"), F.md5(body.cast("binary")).alias("text_md5"))
