@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, line_templates
+from plumbline.llm import chat, decontaminate, line_templates
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import sharding, simhash
 from plumbline.llm.storage import table
@@ -135,3 +135,11 @@ def op10_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     done = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
     body = F.coalesce("text", F.lit(""))
     return done.select("doc_id", "n_lines", "n_dropped", F.length(body).cast("long").alias("n_chars"), F.md5(body.cast("binary")).alias("text_md5"))
+
+
+@_query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(F.col("text"), table(spark, sf, "benchmark"))
+    hits = docs.select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
+    return hits.withColumn("first_word", F.col("first_word").cast("long")).withColumn("last_word", F.col("last_word").cast("long"))
