@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, line_templates
+from plumbline.llm import chat, decontaminate, html_text, line_templates
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import sharding, simhash
 from plumbline.llm.storage import table
@@ -143,3 +143,9 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contamination(F.col("text"), table(spark, sf, "benchmark"))
     hits = docs.select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
     return hits.withColumn("first_word", F.col("first_word").cast("long")).withColumn("last_word", F.col("last_word").cast("long"))
+
+
+@_query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    done = html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return done.withColumn("n_chars", F.length("text").cast("long"))
