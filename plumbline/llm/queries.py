@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontaminate, html_text, line_templates
 from plumbline.llm import quality_rules as rules
-from plumbline.llm import sharding, simhash
+from plumbline.llm import packing, sharding, simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,15 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     done = html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def vocabulary() -> str:
+    """The ranks of the vocabulary of byte_bpe_50k.json; tests compare the ids of both files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@_query("op8_packing")
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "source", "text"), vocabulary())
