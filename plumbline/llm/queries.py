@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, html_text, line_templates
+from plumbline.llm import chat, decontaminate, html_text, language, line_templates
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import packing, sharding, simhash
 from plumbline.llm.storage import table
@@ -161,3 +161,12 @@ def vocabulary() -> str:
 @_query("op8_packing")
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents").select("doc_id", "source", "text"), vocabulary())
+
+
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = docs.withColumn("held_out", F.coalesce(third == 1, F.lit(False)))
+    done = language.identify(docs, third != 1)
+    return done.select("doc_id", "held_out", "lang_pred", "score")

@@ -46,7 +46,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([fingerprint(t) for t in part], dtype="int64")
