@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, html_text, language, line_templates
+from plumbline.llm import chat, decontaminate, html_text, language, licenses, line_templates
 from plumbline.llm import quality_rules as rules
 from plumbline.llm import packing, sharding, simhash
 from plumbline.llm.storage import table
@@ -170,3 +170,16 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(third == 1, F.lit(False)))
     done = language.identify(docs, third != 1)
     return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.spans(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first_word"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
