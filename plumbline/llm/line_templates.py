@@ -24,8 +24,10 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 10
 MIN_TOKENS = 3
-BLANKS = r"[\x20\x09\x0B-\x0D]+"
+# Runs of blanks that are not a single space already.
+BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 FIELD = r"[0-9]+|://[^\x20]*|@[^\x20]*"
+ENOUGH = rf"^[\x20\x09\x0B-\x0D]*[^\x20\x09\x0B-\x0D]+([\x20\x09\x0B-\x0D]+[^\x20\x09\x0B-\x0D]+){{{MIN_TOKENS - 1}}}"
 
 
 def _tokens(line: Column) -> Column:
@@ -37,11 +39,10 @@ def _path(masked: Column) -> Column:
     return F.xxhash64(F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))), F.substring_index(masked, " ", DEPTH))
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """One row per line with MIN_TOKENS tokens or more: doc (id, th), pos, masked."""
-    cut = docs.select("*", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")).drop(text)
-    out = cut.withColumn("masked", _tokens(F.col("line"))).drop("line")
-    return out.filter(F.substring_index("masked", " ", MIN_TOKENS - 1) != F.col("masked"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row per line of MIN_TOKENS tokens or more: pos, line, raw (hash of the line)."""
+    cut = docs.select("*", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).drop("text")
+    return cut.filter(F.col("line").rlike(ENOUGH)).withColumn("raw", F.xxhash64("line"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -52,22 +53,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     (smallest id, then smallest text hash) keep its lines.
     """
     docs = docs.select("id", F.xxhash64("text").alias("th"), "text")
-    lines = stored(_lines(docs, "text").select(
-        "id", "th", "pos", _path(F.col("masked")).alias("path"), F.xxhash64("masked").alias("line"),
-    ))
-    per_text = lines.groupBy("path", "line", "th").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
-    per_line = stored(per_text.groupBy("path", "line").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("pos").alias("pos")))
+    masked = _lines(docs).withColumn("masked", _tokens(F.col("line")))
+    lines = stored(masked.select("id", "th", "pos", "raw", _path(F.col("masked")).alias("path"), F.xxhash64("masked").alias("line")))
+    least = [F.min(c).alias(c) for c in ("id", "pos", "raw")]
+    per_text = lines.groupBy("path", "line", "th").agg(*least)
+    per_line = stored(per_text.groupBy("path", "line").agg(F.count("*").alias("n"), *least))
     busy = per_line.groupBy("path").agg(F.sum("n").alias("texts"), F.count("*").alias("kinds")).filter(F.col("texts") >= min_docs)
     busy = stored(busy)
     # The most common line of a path, the earliest of several.
     leaders = per_line.join(busy, "path")
     rank = F.struct("n", -F.coalesce("id", F.lit(2**62)), -F.col("pos"), "line")
     seeds = stored(leaders.groupBy("path").agg(F.max(rank).alias("r")).select("path", F.col("r.line").alias("seed")))
-    kinds = stored(leaders.select("path", "line", "kinds").join(seeds, "path"))
-    # Tokens are fetched only for paths with more than one kind of line.
-    open_paths = stored(busy.filter("kinds > 1").select("path"))
-    texts = _lines(docs.select("id", "th", "text"), "text").select("masked", _path(F.col("masked")).alias("path"), F.xxhash64("masked").alias("line"))
-    texts = stored(texts.join(open_paths, "path", "left_semi").groupBy("path", "line").agg(F.first("masked").alias("masked")))
+    kinds = stored(leaders.select("path", "line", "raw", "kinds").join(seeds, "path"))
+    # Tokens are fetched only for paths with more than one kind of line, one line of each kind.
+    wanted = stored(kinds.filter("kinds > 1").select("path", "line", "raw"))
+    texts = _lines(docs.select("text")).select("raw", F.col("line").alias("body")).join(wanted, "raw")
+    texts = stored(texts.groupBy("path", "line").agg(F.min(_tokens(F.col("body"))).alias("masked")))
     seed_text = stored(texts.join(seeds, (texts["path"] == seeds["path"]) & (texts["line"] == seeds["seed"]), "left_semi")
                        .select("path", F.col("masked").alias("seed_masked")))
     a, b = F.split("masked", " "), F.split("seed_masked", " ")
@@ -97,10 +98,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     keep = [c for c in docs.columns if c not in new]
     c = lambda name: F.col(f"`{name}`")
     drops = recurring_lines(docs.select(c(id_col).alias("id"), c(text).alias("text")), min_docs, similarity)
-    drops = stored(drops.groupBy("id", "th").agg(F.collect_set("pos").alias("_drop")))
+    drops = stored(drops.groupBy(F.col("id").alias("_id"), F.col("th").alias("_of")).agg(F.collect_set("pos").alias("_drop")))
     lines = F.split(c(text), "\n")
     base = docs.select(*[c(k) for k in keep], F.xxhash64(c(text)).alias("_th"))
-    joined = base.join(drops, c(id_col).eqNullSafe(drops["id"]) & (F.col("_th") == drops["th"]), "left")
+    # Sorted merge at every size: the same plan whether few or many documents lose lines.
+    joined = base.join(drops.hint("merge"), c(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
     return joined.select(
         *[F.when(F.col("_drop").isNull(), c(k)).otherwise(left).alias(k) if k == text else c(k) for k in keep],
