@@ -95,14 +95,14 @@ def register(r: Registry) -> None:
     fr = ["l_extendedprice", "l_linenumber"]
     qs = ", ".join(f"{i}.0::DOUBLE / 5" for i in range(6))
     ranges = " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, e, {c}::DOUBLE AS x, err, kind, p, conf FROM et, (SELECT list_sort(list_distinct(quantile_cont({c}::DOUBLE, [{qs}]))) AS e FROM et) q""" for c in fr)
+        f"""SELECT '{c}' AS feature, e, levels, {c}::DOUBLE AS x, err, kind, p, conf FROM et, (SELECT list_sort(list_distinct(quantile_cont({c}::DOUBLE, [{qs}]))) AS e, count(DISTINCT {c}) AS levels FROM et) q""" for c in fr)
     r.add(
         "ef8_error_ranges",
         lambda s, d: rounded(E.error_ranges(et_lines(s, d), fr)),
         f"""WITH {LINES}, z AS ({ranges}), b AS (SELECT *, least(len(list_filter(e, lambda k: k <= x)) - 1, len(e) - 2) AS bin FROM z), o AS (SELECT avg(err) AS rate FROM et)
         SELECT feature, bin, {r6('e[bin + 1]', 'lower')}, {r6('e[bin + 2]', 'upper')}, count(*) AS n, sum(err)::BIGINT AS errors, {r6('avg(err)', 'error_rate')},
         count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn, {r6('avg(p)', 'mean_p')}, {r6('avg(conf)', 'mean_confidence')},
-        avg(err) >= max(rate) * 1.35 AS is_enriched, count(*) < 30 AS is_small FROM b, o GROUP BY feature, bin, e""",
+        avg(err) >= max(rate) * 1.35 AS is_enriched, count(*) < 30 AS is_small, (SELECT count(*) FROM et) >= 30 AND levels >= 5 AND len(e) >= 3 AS is_testable FROM b, o GROUP BY feature, bin, e, levels""",
     )
     r.add(
         "ef9_top_errors",
@@ -127,13 +127,14 @@ def register(r: Registry) -> None:
         {r6(f'CASE WHEN ({prec}) + ({rec}) > 0 THEN 2 * ({prec}) * ({rec}) / (({prec}) + ({rec})) ELSE 0 END', 'f1')},
         {r6('CASE WHEN fp + tn > 0 THEN fp::DOUBLE / (fp + tn) ELSE 0 END', 'fpr')}, {r6('CASE WHEN fn + tp > 0 THEN fn::DOUBLE / (fn + tp) ELSE 0 END', 'fnr')} FROM cells""",
     )
-    groups = """g AS (SELECT lang AS grp, count(*) AS n, sum(err)::BIGINT AS errors, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn,
-        count(*) FILTER (err = 1 AND conf >= 0.75) AS confident_errors FROM et GROUP BY 1 HAVING count(*) >= 5)"""
+    groups = """every AS (SELECT lang AS grp, count(*) AS n, sum(err)::BIGINT AS errors, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn,
+        count(*) FILTER (err = 1 AND conf >= 0.75) AS confident_errors FROM et GROUP BY 1),
+        g AS (SELECT * FROM every WHERE n >= 5)"""
     r.add(
         "ef11_subgroup_errors",
         lambda s, d: rounded(E.subgroup_errors(et_docs(s, d), "lang")),
         f"""WITH {DOCS}, {groups} SELECT grp, n, errors, {r6('errors::DOUBLE / n', 'error_rate')}, fp, fn, confident_errors, {r6(_wilson('errors', 'n', 'low'), 'rate_low')},
-        {r6(_wilson('errors', 'n', 'high'), 'rate_high')} FROM g""",
+        {r6(_wilson('errors', 'n', 'high'), 'rate_high')}, n < 5 AS is_small FROM every""",
     )
     r.add(
         "ef11_subgroup_disparity",

@@ -334,12 +334,20 @@ def register(r: Registry) -> None:
     )
     r.add(
         "fl3_risk_matrix",
-        lambda s, d: R.risk_matrix(profiles(s, d)).select("health", "trend", "risk", "lineages"),
+        lambda s, d: R.risk_matrix(profiles(s, d)),
         f"""{TRAJ}, {REC}, ce(health, trend, risk) AS (VALUES ('HEALTHY', 'IMPROVING', 'LOW'), ('HEALTHY', 'STABLE', 'LOW'), ('HEALTHY', 'DEGRADING', 'MEDIUM'), ('DEGRADED', 'IMPROVING', 'LOW'), ('DEGRADED', 'STABLE', 'MEDIUM'),
         ('DEGRADED', 'DEGRADING', 'HIGH'), ('CRITICAL', 'IMPROVING', 'MEDIUM'), ('CRITICAL', 'STABLE', 'HIGH'), ('CRITICAL', 'DEGRADING', 'CRITICAL')),
         pp AS (SELECT CASE WHEN hs IN ('HEALTHY', 'DEGRADED', 'CRITICAL') THEN hs ELSE 'HEALTHY' END AS health, CASE WHEN trend IN ('IMPROVING', 'STABLE', 'DEGRADING') THEN trend ELSE 'STABLE' END AS trend FROM pf)
         SELECT health, trend, risk, (SELECT count(*) FROM pp WHERE pp.health = ce.health AND pp.trend = ce.trend) AS lineages FROM ce""",
     )
+    r.add(
+        "fl3_risk_matrix_lineages",
+        lambda s, d: R.risk_matrix_lineages(profiles(s, d)),
+        f"""{TRAJ}, {REC}, ce(health, trend, risk) AS (VALUES ('HEALTHY', 'IMPROVING', 'LOW'), ('HEALTHY', 'STABLE', 'LOW'), ('HEALTHY', 'DEGRADING', 'MEDIUM'), ('DEGRADED', 'IMPROVING', 'LOW'), ('DEGRADED', 'STABLE', 'MEDIUM'),
+        ('DEGRADED', 'DEGRADING', 'HIGH'), ('CRITICAL', 'IMPROVING', 'MEDIUM'), ('CRITICAL', 'STABLE', 'HIGH'), ('CRITICAL', 'DEGRADING', 'CRITICAL')),
+        pp AS (SELECT CASE WHEN hs IN ('HEALTHY', 'DEGRADED', 'CRITICAL') THEN hs ELSE 'HEALTHY' END AS health, CASE WHEN trend IN ('IMPROVING', 'STABLE', 'DEGRADING') THEN trend ELSE 'STABLE' END AS trend, lineage_id FROM pf)
+        SELECT health, trend, risk, lineage_id FROM pp JOIN ce USING (health, trend)""",
+    )
     r.add(
         "fl4_fleet_patterns",
         lambda s, d: R.fleet_patterns(profiles(s, d)),

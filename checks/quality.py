@@ -212,19 +212,18 @@ def register(r: Registry) -> None:
     r.add(
         "dq12_role_candidates",
         lambda s, d: Q.role_candidates(Q.ingest_profile(labelled(s, d))),
-        f"""WITH {lab} SELECT feature, 'target' AS role, d AS distinct_count FROM card WHERE d BETWEEN 2 AND 20 AND
-        (regexp_matches(feature, '{Q.TARGET_NAMES}') OR d = 2)
-        UNION ALL SELECT feature, 'prediction', d FROM card WHERE regexp_matches(feature, '{Q.PREDICTION_NAMES}') AND kind IN ('numeric', 'boolean')
-        UNION ALL SELECT feature, 'protected', d FROM card WHERE d BETWEEN 2 AND 20 AND
-        (regexp_matches(feature, '{Q.PROTECTED_NAMES}') OR kind IN ('categorical', 'boolean'))""",
+        f"""WITH {lab} SELECT feature, 'target' AS role, d AS distinct_count FROM card WHERE feature IN ('target', 'label', 'y', 'class', 'outcome', 'response', 'fraud', 'default')
+        OR starts_with(feature, 'is_') OR d = 2
+        UNION ALL SELECT feature, 'prediction', d FROM card WHERE regexp_matches(feature, 'pred|prob|score') OR feature = 'y_hat'
+        UNION ALL SELECT feature, 'protected', d FROM card WHERE regexp_matches(feature, 'gender|sex|race|ethnicity|age|foreign|zip|nationality|disability')""",
     )
     r.add(
         "dq13_suggest_targets",
         lambda s, d: rounded(Q.suggest_targets(Q.ingest_profile(labelled(s, d)), ["n_chars", "lang"], "pred_prob")),
-        f"""WITH {lab}, sc AS (SELECT feature, CASE WHEN regexp_matches(feature, '{Q.TARGET_NAMES}') THEN 0.45::DOUBLE
-        WHEN regexp_matches(feature, '^(is_|has_)') THEN 0.35 ELSE 0 END + CASE WHEN d = 2 THEN 0.35 WHEN d BETWEEN 3 AND 5 THEN 0.15 ELSE 0 END
+        f"""WITH {lab}, sc AS (SELECT feature, CASE WHEN feature IN ('target', 'label', 'y', 'is_fraud', 'fraud', 'default', 'churn', 'outcome', 'response', 'class') THEN 0.45::DOUBLE
+        WHEN regexp_matches(feature, '^(is_|has_)') THEN 0.35 ELSE 0 END + CASE WHEN d = 2 THEN 0.35 WHEN d BETWEEN 3 AND 5 AND kind = 'categorical' THEN 0.15 ELSE 0 END
         + CASE WHEN feature NOT IN ('n_chars', 'lang') THEN 0.15 ELSE 0 END + CASE WHEN feature = 'pred_prob' THEN 0.05 ELSE 0 END AS s FROM card)
-        SELECT feature, {r6('round(least(s, 1), 4)', 'score')} FROM sc WHERE round(s, 4) >= 0.30""",
+        SELECT feature, {r6('round(s, 4)', 'score')} FROM sc WHERE round(s, 4) >= 0.30""",
     )
     r.add(
         "dq14_suggest_predictions",
@@ -257,13 +256,13 @@ def register(r: Registry) -> None:
     )
     r.add(
         "pr5_numeric_features",
-        lambda s, d: rounded(Q.numeric_summary(table(s, d, "lineitem"), P.numeric_features(table(s, d, "lineitem"), ["l_orderkey", "l_partkey"], 3))
+        lambda s, d: rounded(Q.numeric_summary(table(s, d, "lineitem"), P.numeric_features(table(s, d, "lineitem"), ["l_orderkey", "l_partkey"]))
                              .select("feature", "mean")),
         f"""SELECT 'l_suppkey' AS feature, {r6('avg(l_suppkey)', 'mean')} FROM lineitem UNION ALL SELECT 'l_linenumber', {r6('avg(l_linenumber)', 'm')} FROM lineitem
-        UNION ALL SELECT 'l_quantity', {r6('avg(l_quantity)', 'm')} FROM lineitem""",
+        UNION ALL SELECT 'l_quantity', {r6('avg(l_quantity)', 'm')} FROM lineitem UNION ALL SELECT 'l_extendedprice', {r6('avg(l_extendedprice)', 'm')} FROM lineitem
+        UNION ALL SELECT 'l_discount', {r6('avg(l_discount)', 'm')} FROM lineitem UNION ALL SELECT 'l_tax', {r6('avg(l_tax)', 'm')} FROM lineitem""",
     )
     r.add(
         "pr9_seeded_sample",
         lambda s, d: P.seeded_sample(table(s, d, "orders"), 1000, 42, "o_orderkey"),
     )
-    _ = dbl

@@ -151,7 +151,7 @@ def register(r: Registry) -> None:
         return U.evidence_edges(investigated(s, d), corr, wide)
 
     fw_edges = "FROM fw JOIN (SELECT run_id, substring(target_key, 10) AS feature, target_key FROM top WHERE target_type = 'FEATURE') t USING (run_id, feature)"
-    graph = f"""{INV}, top AS (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY round(sc, 1) DESC, target_key) <= 30),
+    graph = f"""{INV}, top AS (SELECT * FROM inv),
         fk AS (SELECT *, 'FINDING|' || rule || '|' || coalesce(feature, 'GLOBAL') AS node FROM corr_),
         eg AS (SELECT run_id, 'PRODUCES' AS edge_type, 'MODULE|' || unnest(string_split(modules, ',')) AS source, node AS target, score::DOUBLE AS weight FROM fk
         UNION ALL SELECT fk.run_id, 'IMPLICATES', node, 'TARGET|' || target_key, score FROM fk JOIN top ON top.run_id = fk.run_id AND top.target_key = 'FEATURE::' || feature

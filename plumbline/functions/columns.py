@@ -98,9 +98,9 @@ def wilson(k: Column, n: Column, z: float = WILSON_Z) -> tuple[Column, Column]:
 
 
 def row_key(df: DataFrame) -> Column:
-    """Text form of a whole row: NULL and NaN render alike, fields are separated."""
+    """Digest of a whole row: NULL and NaN are alike and differ from every text; each field carries its length."""
     parts = []
     for f in df.schema:
         text = col(f.name).cast("string")
-        parts.append(F.when(missing(df, f.name), F.lit("nan")).otherwise(text))
-    return F.md5(F.concat_ws("||", *parts))
+        parts.append(F.when(missing(df, f.name), F.lit("-")).otherwise(F.concat(F.length(text), F.lit(":"), text)))
+    return F.md5(F.concat(F.lit(""), *parts))

@@ -61,12 +61,14 @@ def running_totals(
         .agg(F.min_by(order, F.xxhash64(F.col(order), F.lit(17))).alias("_anchor"))
     )
     anchors = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_anchor")).alias("_anchors"))
-    hint = F.broadcast if bounded_keys else (lambda d: d)
-    sliced = (
-        df.join(hint(anchors), keys, "left")
-        .withColumn("_slice", _position(F.col("_anchors"), F.col(order), slices))
-        .drop("_anchors")
-    )
+    if bounded_keys:
+        hint, located = F.broadcast, df.join(F.broadcast(anchors), keys, "left")
+    else:
+        # The extra join column makes the aggregate's own partitioning useless for the join. Both
+        # sides then arrive by plain exchanges, and AQE may split the rows of a hot key.
+        hint, extra = (lambda d: d), F.xxhash64(*keys)
+        located = df.withColumn("_key", extra).join(anchors.withColumn("_key", extra), ["_key", *keys], "left").drop("_key")
+    sliced = located.withColumn("_slice", _position(F.col("_anchors"), F.col(order), slices)).drop("_anchors")
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(w).alias(f"_sum_{w}") for w in weights])
     over_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

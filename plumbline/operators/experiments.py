@@ -119,22 +119,22 @@ _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
             0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]
 
 
-def shift_ci(df: DataFrame, pb: str, pc: str, key: Sequence[str], n_boot: int = 1000, seed: int = 42, blocks: int = 10_000) -> DataFrame:
-    """Seeded Poisson bootstrap interval of the mean shift.
+def shift_ci(df: DataFrame, pb: str, pc: str, key: Sequence[str], n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """Seeded Poisson bootstrap interval of the mean shift, by rows at every size.
 
-    Rows are first summed into hash blocks, and blocks are reweighted: the cost is one
-    pass over the rows plus blocks x replicates, whatever the table size. With
-    fewer rows than blocks this is the row bootstrap, up to hash collisions.
+    Every row draws its own weight in every replicate; weighted sums are combined
+    on the map side, so ``n_boot`` rows a task are shuffled and the work is rows x replicates.
     """
-    d = col(pc) - col(pb)
-    block = F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(blocks))
-    sums = df.filter(d.isNotNull()).groupBy(block.alias("_b")).agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
-    u = uniform(F.col("_b"), F.col("rep"), seed)
+    if n_boot < 1:
+        raise ValueError("n_boot must be at least 1")
+    d = (col(pc) - col(pb)).alias("_d")
+    rows = df.select(d, F.xxhash64(*[col(k) for k in key], F.lit(seed)).alias("_h")).filter("_d is not null")
+    u = uniform(F.col("_h"), F.col("rep"), seed)
     w = F.lit(0)
     for edge in _POISSON:
         w = w + F.when(u >= edge, 1).otherwise(0)
-    reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(min(n_boot, 1000))))).withColumn("w", w)
-    means = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("n") * F.col("w")).cast("double")).alias("m"))
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", w)
+    means = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("_d") * F.col("w")), F.sum("w").cast("double")).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.count("m").alias("replicates"))
     return shift_summary(df, pb, pc).join(F.broadcast(ci))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
-from ..functions.cumulative import cumulative_counts, exact_quantiles
+from ..functions.cumulative import cumulative_counts, exact_quantiles, running_totals
 from ..functions.findings import Rule, apply_rules, health
 from .performance import _auc
 from .robustness import perturbed
@@ -28,27 +27,25 @@ THRESHOLDS = {
 PENALTIES = {"CRITICAL": 25, "HIGH": 15, "WARNING": 5, "MEDIUM": 3, "LOW": 1}
 # Name patterns of identifiers.
 IDENTIFIER_PATTERN = "(_id$)|(^id$)|uuid|hash|guid|token"
-ROWS_PER_BUCKET = 20_000
 
 
-def shuffled(df: DataFrame, cols: Sequence[str], key: Sequence[str], repeats: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
+def shuffled(df: DataFrame, cols: Sequence[str], key: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
     """Rows with one donor row per repeat: ``_d0``, ``_d1``, ... hold the donors' ``cols``.
 
-    Rows fall into even hash buckets; inside a bucket each repeat orders the rows by
-    its own hash and takes the values of the next row, the last row those of the
-    first. That is a random cyclic permutation, so every value is used exactly
-    once, with one shuffle for all repeats and no global sort.
+    All rows are ranked by a hash of their key; in each repeat the donor is the
+    row whose rank is a seeded offset ahead, cyclically. That is a permutation of
+    the whole table at every size. Ranks are distributed running totals, donors
+    come by an equi-join on the rank. ``key`` must be unique.
     """
-    if buckets is None:
-        buckets = max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
     keys = [col(k) for k in key]
-    out = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)))
-    donor = F.struct(*[col(c).cast("double").alias(c) for c in cols])
+    ordered = df.withColumns({"_order": F.struct(F.xxhash64(*keys, F.lit(seed)).alias("h"), *keys), "_one": F.lit(1), "_all": F.lit(0)})
+    ranked = running_totals(ordered, ["_all"], "_order", ["_one"]).withColumnsRenamed({"lt__one": "_rank", "tot__one": "_n"}).drop("_order", "_one", "_all")
+    donors = ranked.select(F.col("_rank").alias("_from"), F.struct(*[col(c).cast("double").alias(c) for c in cols]).alias("_d"))
+    out = ranked
     for i in range(repeats):
-        order = Window.partitionBy("_bucket").orderBy(F.xxhash64(*keys, F.lit(seed), F.lit(i)), *keys)
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumn(f"_d{i}", F.coalesce(F.lead(donor).over(order), F.first(donor).over(whole)))
-    return out.drop("_bucket")
+        offset = F.pmod(F.xxhash64(F.lit(seed), F.lit(i)), F.greatest(F.col("_n") - 1, F.lit(1))) + 1
+        out = out.withColumn("_from", F.pmod(F.col("_rank") + offset, F.col("_n"))).join(donors, "_from").drop("_from").withColumnRenamed("_d", f"_d{i}")
+    return out.drop("_rank", "_n")
 
 
 def permutation_importance(

@@ -198,9 +198,17 @@ def fairness_findings(gm: DataFrame, configured: str | None = None, thresholds:
     )
 
 
+def fairness_health(findings: DataFrame) -> DataFrame:
+    """Health of the findings; an attribute with too many groups leaves no score at all."""
+    blocked = findings.agg(F.count_if(F.col("code") == "too_many_groups").alias("_blocked"))
+    return health(findings, PENALTIES).join(F.broadcast(blocked)).select(
+        "n_findings", "n_critical", F.when(F.col("_blocked") > 0, F.lit(0.0)).otherwise(F.col("health_score")).alias("health_score"), "passed"
+    )
+
+
 def fairness_report(df: DataFrame, y: str, p: str, attr: str, t: float = 0.5, configured: str | None = None) -> DataFrame:
     """Summary row plus health; passing also needs the worst impact ratio at .70."""
     gm = group_metrics(df, y, p, attr, t)
-    scored = health(fairness_findings(gm, configured), PENALTIES)
+    scored = fairness_health(fairness_findings(gm, configured))
     out = fairness_summary(gm, configured).join(F.broadcast(scored))
     return out.withColumn("passed", F.col("passed") & (F.col("worst_impact_ratio") >= 0.70))

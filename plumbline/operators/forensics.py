@@ -187,13 +187,13 @@ def error_association_cat(et: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def error_ranges(et: DataFrame, cols: Sequence[str], bins: int = 5, top: int | None = 5, slices: int = 256) -> DataFrame:
-    """Error rate by quantile range for the features most associated with errors."""
-    names = list(cols)
-    if top is not None and len(names) > top:
-        ranked = error_association(et, names).select("feature", F.abs("r").alias("a")).orderBy(F.desc("a"), "feature")
-        names = [r["feature"] for r in ranked.limit(top).collect()]
-    cells = {c: finite(col(c)) for c in names}
+def error_ranges(et: DataFrame, cols: Sequence[str], bins: int = 5, slices: int = 256) -> DataFrame:
+    """Error rate by quantile range of every feature; ranking features is the caller's choice.
+
+    ``is_testable`` is false for features with fewer than 30 values, fewer than
+    five different ones, or a single range; ``is_small`` marks ranges under 30 rows.
+    """
+    cells = {c: finite(col(c)) for c in cols}
     tall = melt(et, cells, ["is_error", "error_type", "_p", "confidence"]).filter(F.col("value").isNotNull())
     table = cumulative_counts(tall, ["feature"], "value", {"n_rows": F.lit(1)}, slices)
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
@@ -201,14 +201,18 @@ def error_ranges(et: DataFrame, cols: Sequence[str], bins: int = 5, top: int | N
     edges = (
         exact_quantiles(table, ["feature"], "value", "n_rows", probs)
         .join(F.broadcast(levels), "feature")
-        .filter((F.col("n") >= 30) & (F.col("levels") >= 5))
-        .select("feature", F.array_distinct(F.array_sort(F.array(*probs))).alias("edges"))
-        .filter(F.size("edges") >= 3)
+        .withColumn("edges", F.array_distinct(F.array_sort(F.array(*probs))))
+        .select(
+            "feature", ((F.col("n") >= 30) & (F.col("levels") >= 5) & (F.size("edges") >= 3)).alias("is_testable"),
+            # A constant feature has one range from its value to its value.
+            F.when(F.size("edges") == 1, F.concat("edges", "edges")).otherwise(F.col("edges")).alias("edges"),
+        )
     )
     last = F.size("edges") - 2
     b = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, last)
     binned = tall.join(F.broadcast(edges), "feature").groupBy("feature", b.alias("bin")).agg(
         F.first("edges").alias("edges"),
+        F.first("is_testable").alias("is_testable"),
         F.count(F.lit(1)).alias("n"),
         F.sum("is_error").alias("errors"),
         F.count_if(F.col("error_type") == "FP").alias("fp"),
@@ -224,7 +228,7 @@ def error_ranges(et: DataFrame, cols: Sequence[str], bins: int = 5, top: int | N
         F.get("edges", F.col("bin") + 1).alias("upper"),
         "n", "errors", rate.alias("error_rate"), "fp", "fn", "mean_p", "mean_confidence",
         ((F.col("_rate") > 0) & (rate >= F.col("_rate") * 1.35)).alias("is_enriched"),
-        (F.col("n") < 30).alias("is_small"),
+        (F.col("n") < 30).alias("is_small"), "is_testable",
     )
 
 
@@ -283,6 +287,7 @@ def calibration_errors(et: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def subgroup_errors(et: DataFrame, attr: str, minimum: int = 5, high: float = THRESHOLDS["confident"]) -> DataFrame:
+    """Error counts and rates of every group; ``is_small`` marks groups under ``minimum`` rows."""
     per = et.filter(col(attr).isNotNull()).groupBy(col(attr).cast("string").alias("grp")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("is_error").alias("errors"),
@@ -291,16 +296,16 @@ def subgroup_errors(et: DataFrame, attr: str, minimum: int = 5, high: float = TH
         F.count_if((F.col("is_error") == 1) & (F.col("confidence") >= high)).alias("confident_errors"),
     )
     low, up = wilson(F.col("errors"), F.col("n"))
-    return per.filter(F.col("n") >= minimum).select(
+    return per.select(
         "grp", "n", "errors", ratio(F.col("errors"), F.col("n")).alias("error_rate"), "fp", "fn", "confident_errors",
-        low.alias("rate_low"), up.alias("rate_high"),
+        low.alias("rate_low"), up.alias("rate_high"), (F.col("n") < minimum).alias("is_small"),
     )
 
 
 def subgroup_disparity(groups: DataFrame) -> DataFrame:
-    """Largest over smallest group error rate; a zero minimum counts as 0.01."""
+    """Largest over smallest error rate of the groups that are not small; a zero minimum counts as 0.01."""
     low = F.min("error_rate")
-    return groups.agg(
+    return groups.filter(~F.col("is_small")).agg(
         F.max("error_rate").alias("max_rate"),
         low.alias("min_rate"),
         F.round(F.max("error_rate") / F.when(low > 0, low).otherwise(F.lit(0.01)), 2).alias("disparity"),

@@ -21,8 +21,8 @@ def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
-def numeric_features(df: DataFrame, exclude: Sequence[str] = (), cap: int | None = 50) -> list[str]:
-    """Numeric columns that can be perturbed or compared, in schema order."""
+def numeric_features(df: DataFrame, exclude: Sequence[str] = (), cap: int | None = None) -> list[str]:
+    """Numeric columns that can be perturbed or compared, in schema order; all of them unless the caller sets ``cap``."""
     names = numeric_columns(df, exclude)
     return names if cap is None else names[:cap]
 

@@ -17,10 +17,13 @@ from ..functions.findings import Rule, apply_rules, health
 BOOLEAN_TOKENS = ["0", "1", "0.0", "1.0", "true", "false", "True", "False", "T", "F", "Y", "N"]
 # Text forms that count as missing at ingest.
 NULL_TOKENS = ["", "nan", "null", "none", "na", "n/a"]
-# Column-name patterns for roles.
-TARGET_NAMES = "target|label|class|outcome|fraud|churn|default"
-PREDICTION_NAMES = "pred|prob|score"
-PROTECTED_NAMES = "gender|sex|race|ethnic|age_group|religion|nationality|foreign|protected|region|marital"
+# Column names for roles. Role candidates and target suggestions use slightly different lists.
+TARGET_ROLE_NAMES = ["target", "label", "y", "class", "outcome", "response", "fraud", "default"]
+TARGET_NAMES = ["target", "label", "y", "is_fraud", "fraud", "default", "churn", "outcome", "response", "class"]
+PREDICTION_NAMES = ["pred_prob", "prediction_probability", "probability", "score", "y_pred", "y_prob", "pred"]
+PREDICTION_ROLE_PARTS = "pred|prob|score|^y_hat$"
+PREDICTION_PARTS = "pred|prob"
+PROTECTED_PARTS = "gender|sex|race|ethnicity|age|foreign|zip|nationality|disability"
 
 THRESHOLDS = {
     "missing_warning": 0.02,
@@ -407,14 +410,12 @@ def _nearest_rank(counts: DataFrame, slices: int) -> DataFrame:
 
 
 def role_candidates(profile: DataFrame) -> DataFrame:
-    """Columns that could serve as target, prediction or protected attribute."""
+    """Columns that could serve as target (by name, or with two values), prediction or protected attribute (by name)."""
     name = F.lower("feature")
-    d = F.col("distinct_count")
     roles = F.array(
-        F.when((d >= 2) & (d <= 20) & (name.rlike(TARGET_NAMES) | (d == 2)), F.lit("target")),
-        F.when(name.rlike(PREDICTION_NAMES) & (F.col("inferred_type").isin("numeric", "boolean")), F.lit("prediction")),
-        F.when((d >= 2) & (d <= 20) & (name.rlike(PROTECTED_NAMES) | F.col("inferred_type").isin("categorical", "boolean")),
-               F.lit("protected")),
+        F.when(name.isin(TARGET_ROLE_NAMES) | name.startswith("is_") | (F.col("distinct_count") == 2), F.lit("target")),
+        F.when(name.rlike(PREDICTION_ROLE_PARTS), F.lit("prediction")),
+        F.when(name.rlike(PROTECTED_PARTS), F.lit("protected")),
     )
     return profile.select("feature", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role"), "distinct_count")
 
@@ -423,28 +424,22 @@ def suggest_targets(profile: DataFrame, model_features: Sequence[str] = (), last
     """Scored target suggestions; kept from 0.30 on."""
     name, d = F.lower("feature"), F.col("distinct_count")
     score = (
-        F.when(name.rlike(TARGET_NAMES), 0.45).when(name.rlike("^(is_|has_)"), 0.35).otherwise(0.0)
-        + F.when(d == 2, 0.35).when((d >= 3) & (d <= 5), 0.15).otherwise(0.0)
+        F.when(name.isin(TARGET_NAMES), 0.45).when(name.rlike("^(is_|has_)"), 0.35).otherwise(0.0)
+        + F.when(d == 2, 0.35).when((d >= 3) & (d <= 5) & (F.col("inferred_type") == "categorical"), 0.15).otherwise(0.0)
         + (F.when(~F.col("feature").isin(list(model_features)), 0.15).otherwise(0.0) if model_features else F.lit(0.0))
         + F.when(F.col("feature") == F.lit(last_column), 0.05).otherwise(0.0)
     )
-    return profile.select("feature", F.round(clamp(score, 0, 1), 4).alias("score")).filter("score >= 0.30").orderBy(
-        F.desc("score"), "feature"
-    )
+    return profile.select("feature", F.round(score, 4).alias("score")).filter("score >= 0.30").orderBy(F.desc("score"), "feature")
 
 
 def suggest_predictions(profile: DataFrame) -> DataFrame:
     """Scored prediction-column suggestions; kept from 0.30 on."""
-    from .predicates import PREDICTION_COLUMNS
-
     name = F.lower("feature")
     bounded = (F.col("inferred_type") == "numeric") & (F.col("min") >= 0) & (F.col("max") <= 1)
-    score = F.when(name.isin(PREDICTION_COLUMNS), 0.60).when(name.rlike(PREDICTION_NAMES), 0.40).otherwise(
+    score = F.when(name.isin(PREDICTION_NAMES), 0.60).when(name.rlike(PREDICTION_PARTS), 0.40).otherwise(
         0.0
     ) + F.when(F.coalesce(bounded, F.lit(False)), 0.30).otherwise(0.0)
-    return profile.select("feature", F.round(clamp(score, 0, 1), 4).alias("score")).filter("score >= 0.30").orderBy(
-        F.desc("score"), "feature"
-    )
+    return profile.select("feature", F.round(score, 4).alias("score")).filter("score >= 0.30").orderBy(F.desc("score"), "feature")
 
 
 def validate_inputs(

@@ -256,22 +256,30 @@ def fleet_ranking(profiles: DataFrame) -> DataFrame:
 
 
 def risk_matrix(profiles: DataFrame) -> DataFrame:
-    """Health x trend: nine fixed cells with count, up to 20 example lineages and risk level; others count as healthy or stable."""
+    """Health x trend: nine fixed cells with count and risk level; other states count as healthy or stable."""
+    cells = profiles.sparkSession.createDataFrame(RISK_LEVELS, "health string, trend string, risk string")
+    counts = _risk_cells(profiles).groupBy("health", "trend").agg(F.count(F.lit(1)).alias("lineages"))
+    return cells.join(counts, ["health", "trend"], "left").fillna(0, ["lineages"])
+
+
+def risk_matrix_lineages(profiles: DataFrame) -> DataFrame:
+    """Every lineage with its cell of the risk matrix and the cell's risk level."""
+    cells = profiles.sparkSession.createDataFrame(RISK_LEVELS, "health string, trend string, risk string")
+    return _risk_cells(profiles).join(F.broadcast(cells), ["health", "trend"])
+
+
+# Risk level of each cell.
+RISK_LEVELS = [
+    ("HEALTHY", "IMPROVING", "LOW"), ("HEALTHY", "STABLE", "LOW"), ("HEALTHY", "DEGRADING", "MEDIUM"),
+    ("DEGRADED", "IMPROVING", "LOW"), ("DEGRADED", "STABLE", "MEDIUM"), ("DEGRADED", "DEGRADING", "HIGH"),
+    ("CRITICAL", "IMPROVING", "MEDIUM"), ("CRITICAL", "STABLE", "HIGH"), ("CRITICAL", "DEGRADING", "CRITICAL"),
+]
+
+
+def _risk_cells(profiles: DataFrame) -> DataFrame:
     h = F.when(F.col("health_state").isin("HEALTHY", "DEGRADED", "CRITICAL"), F.col("health_state")).otherwise(F.lit("HEALTHY"))
     t = F.when(F.col("trend").isin("IMPROVING", "STABLE", "DEGRADING"), F.col("trend")).otherwise(F.lit("STABLE"))
-    levels = [
-        ("HEALTHY", "IMPROVING", "LOW"), ("HEALTHY", "STABLE", "LOW"), ("HEALTHY", "DEGRADING", "MEDIUM"),
-        ("DEGRADED", "IMPROVING", "LOW"), ("DEGRADED", "STABLE", "MEDIUM"), ("DEGRADED", "DEGRADING", "HIGH"),
-        ("CRITICAL", "IMPROVING", "MEDIUM"), ("CRITICAL", "STABLE", "HIGH"), ("CRITICAL", "DEGRADING", "CRITICAL"),
-    ]
-    cells = profiles.sparkSession.createDataFrame(levels, "health string, trend string, risk string")
-    rows = profiles.select(h.alias("health"), t.alias("trend"), "lineage_id")
-    # The rank filter becomes a partial top-k before the shuffle.
-    order = Window.partitionBy("health", "trend").orderBy("lineage_id")
-    shown = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= 20).groupBy("health", "trend").agg(
-        F.concat_ws(",", F.array_sort(F.collect_list("lineage_id"))).alias("examples"))
-    counts = rows.groupBy("health", "trend").agg(F.count(F.lit(1)).alias("lineages"))
-    return cells.join(counts, ["health", "trend"], "left").join(shown, ["health", "trend"], "left").fillna(0, ["lineages"])
+    return profiles.select(h.alias("health"), t.alias("trend"), "lineage_id")
 
 
 def fleet_patterns(profiles: DataFrame, drifting: DataFrame | None = None) -> DataFrame:

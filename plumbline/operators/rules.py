@@ -304,11 +304,13 @@ def investigations(
     return reduce(DataFrame.unionByName, [p.select(*[F.col(c).cast("long").alias(c) if c in ("findings", "evidence") else F.col(c) for c in INVESTIGATION]) for p in parts])
 
 
-def evidence_edges(inv: DataFrame, corr: DataFrame, wide: DataFrame, top: int = 30) -> DataFrame:
-    """Typed edges among modules, the top targets of each run, and findings."""
-    # The rank filter becomes a partial top-k before the shuffle.
-    order = Window.partitionBy("run_id").orderBy(F.desc("score"), "target_key")
-    targets = inv.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
+def evidence_edges(inv: DataFrame, corr: DataFrame, wide: DataFrame, top: int | None = None) -> DataFrame:
+    """Typed edges among modules, investigation targets and findings; ``top`` keeps the first targets of each run only, for drawing."""
+    targets = inv
+    if top is not None:
+        # The rank filter becomes a partial top-k before the shuffle.
+        order = Window.partitionBy("run_id").orderBy(F.desc("score"), "target_key")
+        targets = inv.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
     target = F.concat(F.lit("TARGET|"), F.col("target_key"))
     finding = F.concat_ws("|", F.lit("FINDING"), F.col("rule"), F.coalesce("feature", F.lit("GLOBAL")))
     edge = lambda df, kind, src, dst, w: df.select("run_id", F.lit(kind).alias("edge_type"), src.alias("source"), dst.alias("target"), w.alias("weight"))

@@ -28,12 +28,21 @@ class AuditConfig:
 class Audit:
     """Lazy result tables. ``modules`` tells which modules ran and why others did not."""
 
+    run_id: str
     findings: DataFrame
     health: DataFrame
     metrics: DataFrame
     modules: DataFrame
 
 
+# Shape of the result tables where no module has anything to tell.
+EMPTY = {
+    "findings": "module string, feature string, code string, severity string, metric string, value double, threshold double, advice string",
+    "health": "module string, n_findings long, health_score double, passed boolean",
+    "metrics": "module string, metric_name string, metric_value double",
+}
+
+
 def run_audit(run_id: str, evaluation: DataFrame, config: AuditConfig, baseline: DataFrame | None = None) -> Audit:
     """Plan all requested modules; a module whose inputs are absent is SKIPPED, one that fails to plan is FAILED."""
     spark = evaluation.sparkSession
@@ -75,7 +84,7 @@ def run_audit(run_id: str, evaluation: DataFrame, config: AuditConfig, baseline:
     def fair():
         gm = fairness.group_metrics(labelled(), "_label", p, attr, config.threshold)
         found = fairness.fairness_findings(gm)
-        add("BIAS", found, health(found, fairness.PENALTIES), fairness.fairness_summary(gm))
+        add("BIAS", found, fairness.fairness_health(found), fairness.fairness_summary(gm))
 
     def errors():
         et = forensics.evaluation_table(labelled(), "_label", p, config.threshold)
@@ -96,11 +105,12 @@ def run_audit(run_id: str, evaluation: DataFrame, config: AuditConfig, baseline:
             status.append((run_id, module, "COMPLETED", None))
         except Exception as error:  # noqa: BLE001 - one module must not stop the others
             status.append((run_id, module, "FAILED", str(error).split("\n")[0]))
-    every = lambda parts: reduce(DataFrame.unionByName, parts).withColumn("run_id", F.lit(run_id))
-    return Audit(every(findings), every(scores), every(metrics), spark.createDataFrame(status, "run_id string, module string, status string, reason string"))
+    every = lambda name, parts: reduce(
+        DataFrame.unionByName, parts or [spark.createDataFrame([], EMPTY[name])]).withColumn("run_id", F.lit(run_id))
+    return Audit(run_id, every("findings", findings), every("health", scores), every("metrics", metrics), spark.createDataFrame(status, "run_id string, module string, status string, reason string"))
 
 
 def store_audit(audit: Audit, folder: str) -> None:
     """Write the result tables, replacing an earlier execution of the same run."""
     for name in ("findings", "health", "metrics", "modules"):
-        write_partition(getattr(audit, name), f"{folder.rstrip('/')}/{name}", ["run_id"])
+        write_partition(getattr(audit, name), f"{folder.rstrip('/')}/{name}", ["run_id"], [audit.run_id])

@@ -34,7 +34,8 @@ def watch(norm: DataFrame, runs: DataFrame, state: DataFrame, run_id: Column, no
     alerts = cut_lineage(alerts)
     latest = obs.groupBy("lineage_id").agg(F.max("run_index").alias("run_index"))
     current = obs.join(latest, ["lineage_id", "run_index"]).select("lineage_id", "module", "metric_name", "target_key", "metric_value", "severity")
-    worst = current.groupBy("lineage_id", "module", "metric_name", "target_key").agg(F.max("severity").alias("severity"))
+    worst = current.groupBy("lineage_id", "module", "metric_name", "target_key").agg(
+        T.name4(F.max(T.rank4(F.col("severity")))).alias("severity"))
     trends = T.trend(obs).join(worst, ["lineage_id", "module", "metric_name", "target_key"], "left")
     dims = M.health_dimensions(current, ["lineage_id"], M.temporal_evidence(trends, tracks, held))
     counts = operational.groupBy("lineage_id").agg(F.count(F.lit(1)).alias("baseline_runs"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,13 @@ def load_table(spark: SparkSession, uri: str, schema: str | None = None) -> Data
         # An array of objects spans lines; columns are discovered over all objects.
         return reader.json(path, multiLine=True)
     try:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("h")).limit(1).collect()
-        if head and bytes(head[0]["h"]) == b"PAR1":
-            return reader.parquet(path)
+        # Reads a footer if there is one; nothing else of the file.
+        spark.read.parquet(path)
+    except Exception as error:  # noqa: BLE001 - no footer, or no such path
+        if "PATH_NOT_FOUND" in str(error):
+            raise
         return csv()
-    except Exception:
-        return reader.parquet(path)
+    return reader.parquet(path)
 
 
 def load_pair(spark: SparkSession, evaluation: str, baseline: str | None = None) -> tuple[DataFrame, DataFrame | None, str | None]:
@@ -73,6 +75,17 @@ def write_candidate(df: DataFrame, folder: str, name: str, provenance: dict[str,
     return path
 
 
-def write_partition(df: DataFrame, path: str, keys: Sequence[str] = ("run_id",)) -> None:
-    """Replace exactly the partitions present in ``df``: rerunning a run leaves one copy."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def write_partition(df: DataFrame, path: str, keys: Sequence[str] = ("run_id",), replaces: Sequence[str] | None = None) -> None:
+    """Replace the partitions of a rerun, so that it leaves one copy.
+
+    With ``replaces``, the values of the single key that this execution stands
+    for, every one of these partitions is rewritten, to an empty one where the
+    execution found nothing. Without it only partitions present in ``df`` are replaced.
+    """
+    if replaces is None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        return
+    (key,) = keys
+    for value in replaces:
+        rows = df.filter(F.col(key) == F.lit(value)).drop(key)
+        rows.write.mode("overwrite").parquet(f"{path}/{key}={quote(str(value), safe=' -_.~')}")

@@ -35,7 +35,14 @@ OUT = T.StructType([
 
 
 class AlertLifecycle(StatefulProcessor):
-    """Rows: fingerprint, ts, severity (NULL: condition absent), suppress_hours (NULL: no suppression asked)."""
+    """Rows: fingerprint, ts, severity (NULL: condition absent), suppress_hours (NULL: no suppression asked).
+
+    An alert that stays resolved for ``retention_days`` of event time is
+    forgotten; should it come back later, it is a new one.
+    """
+
+    def __init__(self, retention_days: int = 365) -> None:
+        self.retention_ms = retention_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,9 +50,10 @@ class AlertLifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         life, severity, seen, until = self.value.get() if self.value.exists() else (None, None, 0, 0)
-        for batch in rows:
+        # A key's rows come in chunks; they are put in order of time over all of them.
+        for batch in [pd.concat(list(rows))]:
             out = []
-            for r in batch.sort_values("ts").itertuples(index=False):
+            for r in batch.sort_values("ts", kind="stable").itertuples(index=False):
                 at = int(r.ts.timestamp() * 1000)
                 emit = lambda event, a, b: out.append((key[0], r.ts, event, a, b, seen))  # noqa: E731, B023
                 if life == "SUPPRESSED" and until and at > until:
@@ -54,7 +62,8 @@ class AlertLifecycle(StatefulProcessor):
                 if r.severity is None or r.severity != r.severity:
                     if life in ("OPEN", "REOPENED"):
                         emit("AUTO_RESOLVE", life, "RESOLVED")
-                        life = "RESOLVED"
+                        life, until = "RESOLVED", at + self.retention_ms
+                        self.handle.registerTimer(until)
                     continue
                 seen += 1
                 if life is None:
@@ -63,7 +72,7 @@ class AlertLifecycle(StatefulProcessor):
                 else:
                     if life == "RESOLVED":
                         emit("REOPEN", life, "REOPENED")
-                        life = "REOPENED"
+                        life, until = "REOPENED", 0
                     step = RANK.get(r.severity, 0) - RANK.get(severity, 0)
                     if step:
                         emit("ESCALATE" if step > 0 else "DEESCALATE", severity, r.severity)
@@ -79,6 +88,8 @@ class AlertLifecycle(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         life, severity, seen, until = self.value.get() if self.value.exists() else (None, None, 0, 0)
         due = expiredTimerInfo.getExpiryTimeInMs()
+        if life == "RESOLVED" and until and due >= until:
+            self.value.clear()
         if life == "SUPPRESSED" and until and due >= until:
             self.value.update(("OPEN", severity, seen, 0))
             at = pd.Timestamp(due, unit="ms")
@@ -88,11 +99,11 @@ class AlertLifecycle(StatefulProcessor):
         pass
 
 
-def alert_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+def alert_stream(stream: DataFrame, watermark: str = "1 day", retention_days: int = 365) -> DataFrame:
     """Audit events of alerts. ``stream``: fingerprint, ts, severity, suppress_hours."""
     return (
         stream.select("fingerprint", F.col("ts").cast("timestamp").alias("ts"), "severity", "suppress_hours")
         .withWatermark("ts", watermark)
         .groupBy("fingerprint")
-        .transformWithStateInPandas(statefulProcessor=AlertLifecycle(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        .transformWithStateInPandas(statefulProcessor=AlertLifecycle(retention_days), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
     )
