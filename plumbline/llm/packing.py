@@ -176,6 +176,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", source: str = "so
     width = F.when(F.substring("_ids", 1, 1) == F.lit(b"\2"), 2).otherwise(4)
     sizes = tokens.select(F.col("_rid").alias("rid"), F.col("_key").alias("source_key"), ((F.octet_length("_ids") - 1) / width).cast("long").alias("tokens"))
     places = stored(schedule(sizes, window, shares))
-    joined = tokens.join(places, tokens["_rid"] == places["rid"])
+    # Sorted merge at every size: the same plan for small and large tables.
+    joined = tokens.join(places.hint("merge"), tokens["_rid"] == places["rid"])
     pieces = joined.select("_row", F.explode(_cut_udf(length, with_ids)("_ids", "place")).alias("_piece"))
     return pieces.select(*[F.col("_row")[k].alias(k) for k in keep], "_piece.*")
