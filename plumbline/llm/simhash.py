@@ -139,6 +139,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     )
     keep = stored(first.select("_id", "_th").distinct())
     named = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`")))
-    left = named.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
+    left = named.join(keep.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
     nth = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "_hash").orderBy("_hash"))
     return left.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
