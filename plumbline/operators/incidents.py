@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..session import cut_lineage
 from .lifecycle import INCIDENT_TRANSITIONS, apply_actions
 from .temporal import name4, rank4
@@ -64,27 +65,20 @@ def hub_scores(alerts: DataFrame) -> DataFrame:
         "hub", F.col("a.alert_id").alias("head_id"), "alert_id", pair_score().alias("score"))
 
 
-def incident_clusters(alerts: DataFrame, max_rounds: int = 50) -> DataFrame:
+def incident_clusters(alerts: DataFrame) -> DataFrame:
     """alert_id, incident_key: connected components over shared hubs, labelled by the smallest alert id.
 
-    Labels spread alert -> hub -> alert; lineage is cut each round, and the loop
-    stops when a round changes nothing.
+    Alerts are numbered, every hub is replaced by links to its least number, and
+    components are found on these numbers only.
     """
-    links = cut_lineage(alert_links(alerts))
-    labels = alerts.select("alert_id", F.col("alert_id").alias("label"))
-    for _ in range(max_rounds):
-        hubs = links.join(labels, "alert_id").groupBy("hub").agg(F.min("label").alias("label"))
-        best = links.join(hubs, "hub").groupBy("alert_id").agg(F.min("label").alias("_new"))
-        moved = labels.join(best, "alert_id", "left").select("alert_id", F.least("label", F.coalesce("_new", "label")).alias("_l"), "label")
-        # Pointer jumping: also adopt the label of the current label, which halves long chains.
-        far = moved.select(F.col("alert_id").alias("_l"), F.col("_l").alias("_far"))
-        jumped = moved.join(far, "_l", "left").select(
-            "alert_id", F.least("_l", F.coalesce("_far", "_l")).alias("label"), (F.least("_l", F.coalesce("_far", "_l")) != F.col("label")).alias("changed"))
-        step = cut_lineage(jumped)
-        labels = step.select("alert_id", "label")
-        if step.filter("changed").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "incident_key")
-    raise RuntimeError(f"alert clusters did not settle in {max_rounds} rounds")
+    ids = cut_lineage(alerts.select("alert_id").distinct().withColumn("id", F.monotonically_increasing_id()))
+    members = cut_lineage(alert_links(alerts).join(ids, "alert_id").select("hub", "id"))
+    heads = cut_lineage(members.groupBy("hub").agg(F.min("id").alias("head")))
+    pairs = members.join(heads, "hub").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    found = cut_lineage(components(pairs))
+    rooted = cut_lineage(ids.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    names = cut_lineage(rooted.groupBy("root").agg(F.min("alert_id").alias("incident_key")))
+    return rooted.join(names, "root").select("alert_id", "incident_key")
 
 
 def incident_identity(alerts: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -389,15 +389,23 @@ def durability(experiments: DataFrame, obs: DataFrame, runs: DataFrame) -> DataF
         "lineage_id", "metric_name", "target_key", "run_index", "metric_value", "severity"
     )
     keys = ["lineage_id", "metric_name", "target_key"]
-    later = exp.join(ops, keys, "left").filter(F.col("run_index").isNull() | (F.col("run_index") >= F.col("base_index")))
-    after = F.col("run_index") > F.col("base_index")
     bad = F.col("severity").isin("HIGH", "CRITICAL")
-    out = later.groupBy("experiment_id").agg(
-        F.count_if(after).alias("followups"),
-        F.count_if(after & bad).alias("regressed"),
-        F.max(F.when(F.col("run_index") == F.col("base_index"), F.col("metric_value"))).alias("baseline_value"),
-        F.max_by("metric_value", F.when(after, F.col("run_index"))).alias("latest_value"),
-    )
+    series = ops.groupBy(*keys, "run_index").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.max("metric_value").alias("metric_value"))
+    # Experiments stand in the series right after their base run; what is not before them comes later.
+    at = lambda index, kind, who: F.struct(index.alias("i"), F.lit(kind).alias("k"), who.alias("id"))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    points = series.select(*keys, at(F.col("run_index"), 0, none).alias("_at"), "n", "bad", none.alias("experiment_id"))
+    marks = exp.select(*keys, at(F.col("base_index"), 1, F.col("experiment_id").cast("string")).alias("_at"), zero.alias("n"), zero.alias("bad"),
+                       F.col("experiment_id").cast("string").alias("experiment_id"))
+    placed = running_totals(points.unionByName(marks), keys, "_at", ["n", "bad"], SLICES, bounded_keys=False).filter(F.col("experiment_id").isNotNull())
+    last = series.groupBy(*keys).agg(F.max("run_index").alias("_last"), F.max_by("metric_value", "run_index").alias("_value"))
+    start = exp.join(series.select(*keys, F.col("run_index").alias("base_index"), "metric_value"), [*keys, "base_index"]).select(
+        F.col("experiment_id").cast("string").alias("_eid"), F.col("metric_value").alias("baseline_value"))
+    out = placed.select(
+        F.col("experiment_id").alias("_eid"), (F.col("tot_n") - F.col("lt_n")).alias("followups"), (F.col("tot_bad") - F.col("lt_bad")).alias("regressed")
+    ).join(start, "_eid", "left")
+    exp = exp.join(last, keys, "left").withColumn("latest_value", F.when(F.col("_last") > F.col("base_index"), F.col("_value")))
     status = (
         F.when(F.col("conclusion") != "VALIDATED", F.lit("NOT_APPLICABLE"))
         .when(F.coalesce("followups", F.lit(0)) == 0, F.lit("INSUFFICIENT_FOLLOWUP"))
@@ -405,7 +413,7 @@ def durability(experiments: DataFrame, obs: DataFrame, runs: DataFrame) -> DataF
         .when(F.col("regressed") == F.col("followups"), F.lit("FAILED_TO_SUSTAIN"))
         .otherwise(F.lit("TEMPORARY"))
     )
-    return exp.join(out, "experiment_id", "left").select(
+    return exp.join(out, F.col("experiment_id").cast("string") == F.col("_eid"), "left").select(
         "experiment_id", "lineage_id", "target_key", "metric_name", "conclusion", "baseline_value", "latest_value",
         F.coalesce("followups", F.lit(0)).alias("followups"), F.coalesce("regressed", F.lit(0)).alias("regressed"), status.alias("status"),
     )
