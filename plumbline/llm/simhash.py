@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from plumbline.llm.components import components
+from plumbline.functions.components import components
 from plumbline.llm.storage import stored
 
 SEED = 42
@@ -105,7 +105,7 @@ def _grouped(docs: DataFrame, id_col: str, text: str, distance: int, blocks: int
     body = F.col(f"`{text}`")
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("th"), fingerprint_udf(body).alias("fp")))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    groups = stored(components(stored(near_links(distinct.select("fp"), distance, blocks, chunk))))
+    groups = stored(components(stored(near_links(distinct.select("fp"), distance, blocks, chunk)), stored))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted)
     named = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))

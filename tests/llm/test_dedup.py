@@ -5,7 +5,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, line_templates, simhash
+from plumbline.functions.components import components
+from plumbline.llm import line_templates, simhash
+from plumbline.llm.storage import stored
 
 
 def fingerprint(text):
@@ -36,7 +38,7 @@ def test_components_of_chains_hubs_and_cycles(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(7, 7), (9, 8), (8, 9)]
     pairs += [(rng.randrange(1000, 1080), rng.randrange(1000, 1080)) for _ in range(60)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), stored).collect()}
     want = closure(pairs, {x for p in pairs for x in p})
     assert got == {n: r for n, r in want.items() if n in got}
     assert {n for n in want if want[n] != n or Counter(want.values())[n] > 1} <= set(got)
