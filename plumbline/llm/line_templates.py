@@ -65,9 +65,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     rank = F.struct("n", -F.coalesce("id", F.lit(2**62)), -F.col("pos"), "line")
     seeds = stored(leaders.groupBy("path").agg(F.max(rank).alias("r")).select("path", F.col("r.line").alias("seed")))
     kinds = stored(leaders.select("path", "line", "raw", "kinds").join(seeds, "path"))
-    # Tokens are fetched only for paths with more than one kind of line, one line of each kind.
+    # Tokens are fetched only for paths with more than one kind of line, one line of each kind;
+    # by sorted merge at every size, as the wanted lines grow with the input.
     wanted = stored(kinds.filter("kinds > 1").select("path", "line", "raw"))
-    texts = _lines(docs.select("text")).select("raw", F.col("line").alias("body")).join(wanted, "raw")
+    texts = _lines(docs.select("text")).select("raw", F.col("line").alias("body")).join(wanted.hint("merge"), "raw")
     texts = stored(texts.groupBy("path", "line").agg(F.min(_tokens(F.col("body"))).alias("masked")))
     seed_text = stored(texts.join(seeds, (texts["path"] == seeds["path"]) & (texts["line"] == seeds["seed"]), "left_semi")
                        .select("path", F.col("masked").alias("seed_masked")))

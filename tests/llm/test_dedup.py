@@ -82,7 +82,7 @@ def test_rows_without_id_or_text_repeats_and_clashing_columns(spark):
 
 
 def test_recurring_templates_go_but_for_their_first_text(spark):
-    note = "Call {} now to order number {} from our store today please"
+    note = "Call us today {} to order number {} from our store now please"
     rows = [(i, f"text {chr(97 + i)} own line here\n{note.format(i, i * 7)}\nshort\n{chr(97 + i)}x closing {chr(97 + i)}") for i in range(12)]
     rows += [(0, rows[0][1]), (50, rows[0][1]), (60, None), (61, ""), (None, note.format(1, 2) + "\n\n"), (70, "x " * 20000 + "\n" + note.format("someone", 9))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_dropped", F.lit("clash")).withColumn("id", F.lit(1))
