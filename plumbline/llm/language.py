@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-FIT_ROWS = 4000  # labelled rows per language
+from plumbline.llm.storage import stored
+
+FIT_ROWS = 2000  # labelled rows per language
 MIN_COUNT = 2  # of a word or n-gram in the sample, over all languages
+WORD = 0  # the order of whole words
 ORDERS = (4, 3, 2, 1)
 MEMORY = 200_000  # scores of unknown words that a task remembers
 UNKNOWN = "und"
@@ -51,39 +54,45 @@ def sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fit_rows).select("lang", "text")
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> "Model":
-    """Fit on ``rows(key, text, lang)``; only counts of the bounded sample reach the driver."""
-    lines = sample(rows, fit_rows).select("lang", F.explode(_words_udf("text")).alias("word"))
-    counted = lines.groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
-    return Model([(r.lang, r.word, r.n) for r in counted])
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, min_count: int = MIN_COUNT) -> "Model":
+    """Fit on ``rows(key, text, lang)``; words and n-grams are counted by Spark, and the counts of the bounded sample collected."""
+    words = sample(rows, fit_rows).select("lang", F.explode(_words_udf("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = stored(words)
+    langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
+    piece = lambda k, c: F.struct(F.lit(k).alias("k"), c.alias("gram"))
+
+    def pieces(k: int) -> Column:
+        padded = F.concat(F.lit(" "), F.col("word"), F.lit(" ")) if k > 1 else F.col("word")
+        last = F.length(padded) - (k - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: piece(k, F.substr(padded, i, F.lit(k))))).otherwise(F.array().cast("array<struct<k:int,gram:string>>"))
+
+    grams_of = F.concat(F.array(piece(WORD, F.col("word"))), *[pieces(k) for k in ORDERS])
+    per = words.select("lang", "n", F.inline(grams_of)).groupBy("k", "gram")
+    counts = per.agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)], F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= min_count).toArrow()
+    table = np.column_stack([found[f"n{i}"].to_numpy() for i in range(len(langs))]) if langs else np.zeros((0, 0))
+    return Model(langs, found["k"].to_numpy(), found["gram"].to_pylist(), table)
 
 
 class Model:
-    def __init__(self, counts: list[tuple[str, str, int]], min_count: int = MIN_COUNT) -> None:
-        self.langs = sorted({lang for lang, _, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {k: defaultdict(lambda: np.zeros(len(self.langs))) for k in (0, *ORDERS)}
-        for lang, word, n in counts:
-            tables[0][word][at[lang]] += n
-            for k in ORDERS:
-                for gram in grams(word, k):
-                    tables[k][gram][at[lang]] += n
-        self.tables = {k: self._log(t, min_count) for k, t in tables.items()}
-
-    @staticmethod
-    def _log(table: dict[str, np.ndarray], min_count: int) -> dict[str, np.ndarray]:
-        """Log frequencies per language, one added to every count."""
-        if not table:
-            return {}
-        total = np.log(sum(table.values()) + len(table) + 1)
-        return {w: (np.log(v + 1) - total).astype(np.float32) for w, v in table.items() if v.sum() >= min_count}
+    """Log frequencies per language of words (order 0) and n-grams; one added to every count."""
+
+    def __init__(self, langs: list[str], orders: np.ndarray, names: list[str], counts: np.ndarray) -> None:
+        self.langs = langs
+        self.rows: dict[int, dict[str, int]] = {}
+        self.logs: dict[int, np.ndarray] = {}
+        for k in (WORD, *ORDERS):
+            at = np.flatnonzero(np.asarray(orders) == k)
+            own = counts[at]
+            self.rows[k] = {names[i]: row for row, i in enumerate(at.tolist())}
+            self.logs[k] = (np.log(own + 1.0) - np.log(own.sum(axis=0) + len(own) + 1.0)).astype(np.float32)
 
     def back_off(self, word: str) -> np.ndarray | None:
         for k in ORDERS:
-            table = self.tables[k]
-            found = [table[g] for g in grams(word, k) if g in table]
+            rows = self.rows[k]
+            found = [rows[g] for g in grams(word, k) if g in rows]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[k][found].mean(axis=0)
         return None
 
     def predict(self, text: str | None, unseen: dict) -> tuple[str, float]:
@@ -91,22 +100,26 @@ class Model:
         words = Counter(words_of(text))
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known = self.tables[0]
-        vectors, weights = [], []
+        known, at, weights, extra = self.rows[WORD], [], [], np.zeros(len(self.langs))
+        n_extra = 0
         for word, n in words.items():
-            v = known.get(word)
-            if v is None:
-                v = unseen.get(word, unseen)
-                if v is unseen:
-                    if len(unseen) >= MEMORY:
-                        unseen.clear()
-                    v = unseen[word] = self.back_off(word)
-            if v is not None:
-                vectors.append(v)
+            row = known.get(word)
+            if row is not None:
+                at.append(row)
                 weights.append(n)
-        if not vectors:  # letters that no learned language has
+                continue
+            v = unseen.get(word, unseen)
+            if v is unseen:
+                if len(unseen) >= MEMORY:
+                    unseen.clear()
+                v = unseen[word] = self.back_off(word)
+            if v is not None:
+                extra += n * v
+                n_extra += n
+        if not at and not n_extra:  # letters that no learned language has
             return self.langs[0], 1.0 / len(self.langs)
-        total = np.average(np.array(vectors, float), axis=0, weights=weights)
+        total = (np.dot(np.array(weights, np.float64), self.logs[WORD][at]) if at else 0.0) + extra
+        total = total / (sum(weights) + n_extra)
         best = int(total.argmax())
         return self.langs[best], 1.0 / sum(math.exp(x - total[best]) for x in total)
 

@@ -2,10 +2,14 @@ from plumbline.llm import language
 from plumbline.llm.queries import op4_language_id
 
 
-def test_words_first_then_shorter_n_grams():
-    m = language.Model([("de", "haus", 5), ("de", "maus", 5), ("en", "house", 5), ("en", "the", 9)])
+def test_words_first_then_shorter_n_grams(spark):
+    rows = [(1, "haus maus " * 5, "de"), (2, "house the the " * 5, "en"), (3, None, "de"), (4, "house", None)]
+    m = language.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert m.langs == ["de", "en"] and set(m.rows[0]) == {"haus", "maus", "house", "the"}
+    for k in language.ORDERS:
+        assert set(m.rows[k]) == {g for w in m.rows[0] for g in language.grams(w, k)}
     assert m.predict("Haus", {})[0] == "de"
-    assert (m.back_off("xaus") == sum(m.tables[4][g] for g in ("aus ",)) / 1).all()
+    assert (m.back_off("xaus") == m.logs[4][m.rows[4]["aus "]]).all()
     assert m.back_off("zzzzh") is not None and m.back_off("日本") is None
     assert m.predict("日本", {}) == ("de", 0.5) and m.predict("12 3", {}) == ("und", 0.0) and m.predict(None, {}) == ("und", 0.0)
 
