@@ -46,6 +46,29 @@ HUBS = """lk AS (SELECT alert_id, 'target|' || lineage_id || '|' || lower(target
 links AS (SELECT alert_id, hub FROM lk l WHERE hub NOT LIKE 'context|%' OR EXISTS (SELECT 1 FROM lk o WHERE o.hub = l.hub AND o.g))"""
 
 
+# Components of alerts and their incidents: every alert takes the smallest label among its neighbours until none changes.
+CLUSTERS = f"""{ALERT_SQL}, {HUBS}, heads AS (SELECT hub, min(alert_id) AS head FROM links GROUP BY 1),
+near AS (SELECT DISTINCT alert_id AS a, head AS b FROM links JOIN heads USING (hub) UNION SELECT DISTINCT head, alert_id FROM links JOIN heads USING (hub)),
+cc(a, root) USING KEY (a) AS (SELECT alert_id, alert_id FROM al UNION
+  (SELECT DISTINCT ON (old.a) old.a, cc.root FROM recurring.cc AS old, cc, near WHERE near.a = old.a AND near.b = cc.a AND cc.root < old.root ORDER BY old.a, cc.root)),
+cl AS (SELECT a AS alert_id, root AS incident_key FROM cc),
+mem AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS rk FROM al JOIN cl USING (alert_id)),
+inc0 AS (SELECT incident_key, min(lineage_id) AS lineage_id, count(*) AS alerts, max(rk) AS rk,
+  coalesce(first(target_key ORDER BY -rk, target_key) FILTER (target_key <> 'GLOBAL'), 'GLOBAL') AS primary_target, count(DISTINCT source_module) AS nm,
+  string_agg(DISTINCT source_module, ',' ORDER BY source_module) AS modules, max(consecutive_count) AS max_consecutive, bool_or(severity_change = 'ESCALATED') AS escalating
+  FROM mem GROUP BY 1),
+inc1 AS (SELECT *, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][rk + 1] AS severity,
+  CASE WHEN nm > 1 THEN 'MULTI_MODULE_INCIDENT' WHEN modules = 'DRIFT' THEN 'DRIFT_INCIDENT' WHEN modules = 'ERROR_FORENSICS' THEN 'ERROR_INCIDENT' ELSE 'PERFORMANCE_INCIDENT' END AS category,
+  CASE WHEN nm > 1 THEN 'Multi Module Incident' WHEN modules = 'DRIFT' THEN 'Drift Incident' WHEN modules = 'ERROR_FORENSICS' THEN 'Error Incident' ELSE 'Performance Incident' END AS cat_title FROM inc0),
+inc AS (SELECT *, sha256(lineage_id || '::' || primary_target || '::' || category) AS fingerprint,
+  '[' || severity || '] ' || cat_title || ' on ' || primary_target || ' (' || replace(modules, ',', ' + ') || ')' AS title FROM inc1),
+pr AS (SELECT *, least(100, CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 15 ELSE 5 END + least(40, nm * 10)
+  + least(15, CASE WHEN escalating THEN 10 ELSE 0 END + CASE WHEN max_consecutive >= 2 THEN 5 ELSE 0 END) + 5) AS priority_score,
+  (nm >= 1 AND contains(modules, 'DRIFT') AND substring(lineage_id, 2)::INT % 2 = 0 AND NOT contains(modules, 'PERFORMANCE'))
+  OR (contains(modules, 'ERROR_FORENSICS') AND substring(lineage_id, 2)::INT % 2 = 0 AND NOT contains(modules, 'DRIFT')) AS contradictory FROM inc),
+pt AS (SELECT *, CASE WHEN priority_score >= 85 THEN 'CRITICAL' WHEN priority_score >= 65 THEN 'HIGH' WHEN priority_score >= 45 THEN 'MEDIUM' WHEN priority_score >= 25 THEN 'LOW' ELSE 'INFO' END AS priority FROM pr)"""
+
+
 def clusters(s, d):
     return stored(s, d, "clusters", lambda: I.incident_clusters(order_alerts(s, d)))
 
@@ -237,8 +260,10 @@ def register(r: Registry) -> None:
         + CASE WHEN a.track = b.track THEN 20 ELSE 0 END + CASE WHEN a.first_run = b.first_run THEN 20 ELSE 0 END + CASE WHEN a.source_module = b.source_module THEN 10 ELSE 0 END
         + CASE WHEN a.metric_name = b.metric_name THEN 10 ELSE 0 END + CASE WHEN a.last_run = b.last_run THEN 10 ELSE 0 END)::BIGINT AS score FROM p JOIN al a ON a.alert_id = head_id JOIN al b ON b.alert_id = p.alert_id""",
     )
-    r.add("in2_incident_clusters", clusters)
-    r.add("in3_incident_identity", lambda s, d: identified(s, d).withColumn("modules", F.concat_ws(",", "modules")))
+    r.add("in2_incident_clusters", clusters, f"WITH RECURSIVE {CLUSTERS} SELECT alert_id, incident_key FROM cl")
+    r.add("in3_incident_identity", lambda s, d: identified(s, d).withColumn("modules", F.concat_ws(",", "modules")),
+          f"""WITH RECURSIVE {CLUSTERS} SELECT incident_key, lineage_id, alerts, primary_target, modules, max_consecutive, escalating, severity, category, fingerprint,
+          'INC-' || upper(substring(fingerprint, 1, 4)) AS code, title FROM inc""")
     state_ = lambda s, d: order_alerts(s, d).select("lineage_id").distinct().withColumn("health_state", F.lit("DEGRADED"))
     prio = lambda s, d: I.incident_priority(identified(s, d), state_(s, d))
 
@@ -247,16 +272,24 @@ def register(r: Registry) -> None:
         ids = order_alerts(s, d).select("lineage_id").distinct()
         return ids.select("lineage_id", F.explode(F.array(F.lit("PERFORMANCE"), F.lit("DATA_QUALITY"))).alias("dimension"), F.when(k % 2 == 0, F.lit("HEALTHY")).otherwise(F.lit("DEGRADED")).alias("state"))
 
-    r.add("in4_incident_priority", lambda s, d: prio(s, d).groupBy("priority", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("priority_score").alias("top")))
-    r.add("in5_contradictions", lambda s, d: I.contradictions(identified(s, d), clean_dims(s, d)).groupBy("lineage_id", "contradictory").agg(F.count(F.lit(1)).alias("n")))
+    r.add("in4_incident_priority", lambda s, d: prio(s, d).select("incident_key", "severity", "priority_score", "priority"),
+          f"WITH RECURSIVE {CLUSTERS} SELECT incident_key, severity, priority_score::BIGINT AS priority_score, priority FROM pt")
+    r.add("in5_contradictions", lambda s, d: I.contradictions(identified(s, d), clean_dims(s, d)).select("incident_key", "contradictory"),
+          f"WITH RECURSIVE {CLUSTERS} SELECT incident_key, contradictory FROM pt")
 
     def decision(s, d):
         k = F.col("alerts")
         base = I.contradictions(prio(s, d), clean_dims(s, d))
         return I.incident_decision(base.withColumns({"has_investigation": k % 2 == 0, "has_remediation": k % 3 == 0, "has_validated": k % 7 == 0, "reopened": k % 11 == 0}))
 
-    r.add("in6_incident_decision", lambda s, d: decision(s, d).groupBy("decision", "decision_confidence").agg(F.count(F.lit(1)).alias("n")))
-    r.add("in7_evidence_matrix", lambda s, d: I.evidence_matrix(order_alerts(s, d), clusters(s, d)))
+    r.add("in6_incident_decision", lambda s, d: decision(s, d).select("incident_key", "decision", "decision_confidence"),
+          f"""WITH RECURSIVE {CLUSTERS}, dc AS (SELECT *, CASE WHEN contradictory AND alerts % 3 <> 0 AND alerts % 7 <> 0 THEN 'MONITOR' WHEN alerts % 11 = 0 THEN 'REOPEN_INVESTIGATION'
+          WHEN priority_score >= 85 AND nm >= 3 AND alerts % 3 <> 0 THEN 'ESCALATE' WHEN alerts % 7 = 0 THEN 'MONITOR' WHEN alerts % 3 = 0 THEN 'VALIDATE_REMEDIATION'
+          WHEN alerts % 2 = 0 THEN 'REVIEW_REMEDIATION' ELSE 'INVESTIGATE' END AS decision FROM pt)
+          SELECT incident_key, decision, CASE WHEN NOT contradictory AND (decision <> 'INVESTIGATE' OR nm >= 2) THEN 'HIGH' ELSE 'MEDIUM' END AS decision_confidence FROM dc""")
+    r.add("in7_evidence_matrix", lambda s, d: I.evidence_matrix(order_alerts(s, d), clusters(s, d)),
+          f"""WITH RECURSIVE {CLUSTERS} SELECT incident_key, source_module, count(*) AS alerts, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(rk) + 1] AS worst_severity,
+          string_agg(DISTINCT metric_name, ',' ORDER BY metric_name) AS metrics FROM mem GROUP BY 1, 2""")
     r.add("in9_sync_incidents", lambda s, d: I.sync_incidents(
         identified(s, d).groupBy("fingerprint").agg(F.max("alerts").alias("a")).filter(F.col("a") % 2 == 0).select(
             "fingerprint", F.when(F.col("a") % 4 == 0, F.lit("RESOLVED")).otherwise(F.lit("OPEN")).alias("lifecycle_state"), F.lit(0).cast("long").alias("reopen_count")),

@@ -155,6 +155,9 @@ def threshold_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     return threshold_grid(df, y, p, 21)
 
 
+FIT_CELLS = 100_000
+
+
 def calibrate(ev: DataFrame, calib: DataFrame, y: str, p: str, method: str = "PLATT", out: str = "p_calibrated") -> DataFrame:
     """Refit the probabilities on an independent table of at least 20 rows."""
     calib = valid_pairs(calib, y, p)
@@ -165,9 +168,10 @@ def calibrate(ev: DataFrame, calib: DataFrame, y: str, p: str, method: str = "PL
     if method == "ISOTONIC":
         from pyspark.ml.regression import IsotonicRegression
 
-        model = IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol=out).fit(
-            calib.select(col(p).alias("_x"), col(y).cast("double").alias("_y"))
-        )
+        # The fit gathers its points on the driver: scores are first averaged in FIT_CELLS cells, weighted by their rows.
+        cell = F.least(F.floor(col(p) * FIT_CELLS), F.lit(FIT_CELLS - 1))
+        points = calib.groupBy(cell.alias("_c")).agg(F.avg(p).alias("_x"), F.avg(col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+        model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol=out).fit(points)
         return model.transform(valid_pairs(ev, y, p).withColumn("_x", col(p))).drop("_x")
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
