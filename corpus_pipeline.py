@@ -23,9 +23,7 @@ def _columns(docs: DataFrame) -> list:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, unchanged."""
-    judged = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text"))
-    kept = quality_rules.quality(judged).filter("kept")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return quality_rules.passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

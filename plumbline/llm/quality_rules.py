@@ -149,3 +149,16 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         "base_failed": F.arrays_overlap("failed", F.array(*map(F.lit, names))),
         "kept": F.size("failed") == 0,
     })
+
+
+def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that every rule keeps, unchanged.
+
+    The filter also reads a row number: a predicate is not pushed below a
+    projection that makes one. Pushed down, it would repeat the expressions of
+    every measure inside the measures that build on them.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    judged = quality(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), "text", rules)
+    kept = judged.select("row", "kept", F.monotonically_increasing_id().alias("number")).filter("kept AND number >= 0")
+    return kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
