@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import monitoring as M
 from plumbline.operators import temporal as T
+from plumbline.operators.scoring import LinearModel
 from plumbline.plans.audit import AuditConfig, run_audit
 from plumbline.plans.watch import incidents_of, watch
 
-from .common import Registry, r6, rounded, scored_docs, table
+from .common import SCORED_DOCS, Registry, r6, rounded, scored_docs, table
 from .history import OBS, normalized, observations, runs
 
 
@@ -47,14 +48,23 @@ def register(r: Registry) -> None:
     def audit(s, d):
         docs = scored_docs(s, d).select("doc_id", "lang", "source", "n_chars", "y", F.col("p").alias("pred_prob"))
         even = F.col("doc_id") % 2 == 0
-        cfg = AuditConfig("y", protected="lang")
-        return run_audit("audit-1", docs.filter(~even).drop("doc_id"), cfg, docs.filter(even).drop("doc_id"))
+        model = LinearModel({"n_chars": 0.0005}, -1.0)
+        cfg = AuditConfig("y", protected="lang", model=model, key=["doc_id"], features=["n_chars"], categorical=["source"])
+        return run_audit("audit-1", docs.filter(~even), cfg, docs.filter(even))
 
     def audited(s, d):
         a = audit(s, d)
         return a.modules.join(a.health.select("module", "n_findings", "health_score", "passed"), "module", "left")
 
     r.add("run_audit_modules", audited)
+    r.add(
+        "run_audit_metrics",
+        lambda s, d: rounded(audit(s, d).metrics.filter("module IN ('PERFORMANCE', 'EXPLAINABILITY') AND metric_name IN ('accuracy', 'share', 'rank', 'mean_abs')")),
+        f"""WITH {SCORED_DOCS}, ev AS (SELECT * FROM scored WHERE doc_id % 2 <> 0)
+        SELECT 'PERFORMANCE' AS module, NULL AS feature, 'accuracy' AS metric_name, {r6('avg(((p >= 0.5)::INT = y)::INT::DOUBLE)', 'metric_value')}, 'audit-1' AS run_id FROM ev
+        UNION ALL SELECT 'EXPLAINABILITY', 'n_chars', 'share', 1.0, 'audit-1' UNION ALL SELECT 'EXPLAINABILITY', 'n_chars', 'rank', 1.0, 'audit-1'
+        UNION ALL SELECT 'EXPLAINABILITY', 'n_chars', 'mean_abs', {r6('avg(abs(0.0005 * (n_chars - m)))', 'v')}, 'audit-1' FROM ev, (SELECT avg(n_chars) AS m FROM ev) q""",
+    )
 
     def watched(s, d):
         return watch(normalized(s, d), runs(s, d), M.empty_state(s), F.lit("latest"), F.lit("2024-02-01").cast("timestamp"))
