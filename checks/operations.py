@@ -293,7 +293,10 @@ def register(r: Registry) -> None:
     r.add("in9_sync_incidents", lambda s, d: I.sync_incidents(
         identified(s, d).groupBy("fingerprint").agg(F.max("alerts").alias("a")).filter(F.col("a") % 2 == 0).select(
             "fingerprint", F.when(F.col("a") % 4 == 0, F.lit("RESOLVED")).otherwise(F.lit("OPEN")).alias("lifecycle_state"), F.lit(0).cast("long").alias("reopen_count")),
-        identified(s, d)).groupBy("change", "lifecycle_state").agg(F.count(F.lit(1)).alias("n")))
+        identified(s, d)).select("fingerprint", "code", "primary_target", "category", "alerts", "lifecycle_state", "reopen_count", "change"),
+        f"""WITH RECURSIVE {CLUSTERS}, f AS (SELECT fingerprint, max(alerts) AS a, sum(alerts)::BIGINT AS alerts, any_value(primary_target) AS primary_target, any_value(category) AS category FROM inc GROUP BY 1)
+        SELECT fingerprint, 'INC-' || upper(substring(fingerprint, 1, 4)) AS code, primary_target, category, alerts, CASE WHEN a % 4 = 0 THEN 'REOPENED' ELSE 'OPEN' END AS lifecycle_state,
+        (a % 4 = 0)::BIGINT AS reopen_count, CASE WHEN a % 2 <> 0 THEN 'CREATED' WHEN a % 4 = 0 THEN 'REOPENED' ELSE 'UPDATED' END AS change FROM f""")
 
     def dossier(s, d):
         big = identified(s, d)
@@ -301,7 +304,12 @@ def register(r: Registry) -> None:
         rel = order_alerts(s, d).filter("target_key <> 'GLOBAL'").select("lineage_id", "target_key", F.lit("investigation").alias("kind"), F.col("alert_id").alias("id"))
         return I.incident_dossier(big, order_alerts(s, d), clusters(s, d), rel, first)
 
-    r.add("in10_incident_dossier", dossier)
+    r.add(
+        "in10_incident_dossier", dossier,
+        f"""WITH RECURSIVE {CLUSTERS}, big AS (SELECT fingerprint AS f FROM inc ORDER BY alerts DESC, fingerprint DESC LIMIT 1)
+        SELECT fingerprint, 'INC-' || upper(substring(fingerprint, 1, 4)) AS code, title, alert_id, target_key, metric_name, source_module, mem.severity,
+        CASE WHEN target_key <> 'GLOBAL' THEN 'investigation' END AS linked FROM mem JOIN inc USING (incident_key) JOIN big ON big.f = fingerprint""",
+    )
     r.add(
         "jn8_link_alerts",
         lambda s, d: M.link_alerts(order_alerts(s, d), order_alerts(s, d).filter("target_key <> 'GLOBAL'").select(
