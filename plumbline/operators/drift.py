@@ -14,7 +14,7 @@ from ..functions.findings import Rule, apply_rules, health
 from ..functions.tails import chi2_p, kolmogorov
 from ..session import cut_lineage
 from .association import fdr, text_cells
-from .quality import BOOLEAN_TOKENS, value_counts
+from .quality import BOOLEAN_TOKENS
 
 THRESHOLDS = {
     "psi_warning": 0.10,
@@ -30,19 +30,23 @@ EPSILON = 1e-4
 
 
 def drift_types(df: DataFrame) -> DataFrame:
-    """feature, drift_type: NUMERIC, CATEGORICAL (text, boolean or two-token) or UNKNOWN (nothing present)."""
-    stats = value_counts(df).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("_d"), F.count_if(F.col("value").isin(BOOLEAN_TOKENS)).alias("_t")
-    )
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("feature"))
-    kind = (
-        F.when(F.col("_d").isNull(), F.lit("UNKNOWN"))
-        .when((F.col("_d") == 2) & (F.col("_t") == 2), F.lit("CATEGORICAL"))
-        .when(F.col("feature").isin(numbers), F.lit("NUMERIC"))
-        .otherwise(F.lit("CATEGORICAL"))
-    )
-    return every.join(F.broadcast(stats), "feature", "left").select("feature", kind.alias("drift_type"))
+    """feature, drift_type: NUMERIC, CATEGORICAL (text, boolean or two-token) or UNKNOWN (nothing present).
+
+    One aggregate over the rows: a numeric column has two boolean tokens if it
+    holds nothing else and its least and greatest value differ. No value is shuffled.
+    """
+    aggs, cells = [], []
+    for i, f in enumerate(df.schema):
+        present, c = ~missing(df, f.name), col(f.name)
+        aggs.append(F.count_if(present).alias(f"_p{i}"))
+        kind = F.lit("CATEGORICAL")
+        if isinstance(f.dataType, T.NumericType):
+            held = F.when(present, c)
+            aggs += [F.count_if(present & ~c.cast("string").isin(BOOLEAN_TOKENS)).alias(f"_o{i}"), (F.min(held) < F.max(held)).alias(f"_d{i}")]
+            kind = F.when((F.col(f"_o{i}") == 0) & F.col(f"_d{i}"), kind).otherwise(F.lit("NUMERIC"))
+        kind = F.when(F.col(f"_p{i}") == 0, F.lit("UNKNOWN")).otherwise(kind)
+        cells.append(F.struct(F.lit(f.name).alias("feature"), kind.alias("drift_type")))
+    return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
 def schema_drift(base: DataFrame, ev: DataFrame) -> DataFrame:
