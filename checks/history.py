@@ -9,8 +9,11 @@ from plumbline.operators import temporal as T
 
 from .common import stored, table
 
-REGISTRY = "reg(metric_name, module_, higher, warning, critical) AS (VALUES " + ", ".join(
-    f"('{m}', '{mod}', {str(h).lower()}, {w}::DOUBLE, {c}::DOUBLE)" for m, mod, h, w, c, _ in T.METRICS) + ")"
+# Fixed values, written out here on purpose: thresholds of the metrics below.
+REGISTRY = """reg(metric_name, module_, higher, warning, critical) AS (VALUES
+  ('overall_error_rate', 'ERROR_FORENSICS', false, 0.15::DOUBLE, 0.30::DOUBLE), ('accuracy', 'PERFORMANCE', true, 0.75::DOUBLE, 0.60::DOUBLE),
+  ('psi', 'DRIFT', false, 0.10::DOUBLE, 0.25::DOUBLE), ('flip_rate', 'ROBUSTNESS', false, 0.10::DOUBLE, 0.20::DOUBLE),
+  ('null_rate', 'DATA_QUALITY', false, 0.05::DOUBLE, 0.15::DOUBLE))"""
 
 OBS = f"""{REGISTRY}, ev AS (SELECT event_type AS lineage_id, CAST(ts AS DATE) AS d, value, user_id % 5 AS u FROM events),
 gl AS (SELECT lineage_id, d, avg((value > 100)::INT) AS er, avg((value >= 20)::INT) AS ac FROM ev GROUP BY 1, 2),
