@@ -27,7 +27,11 @@ def contingency(df: DataFrame, a: dict[str, Column], b: Column) -> DataFrame:
     rows = cells.groupBy("feature", "a").agg(F.sum("n").alias("n_a"))
     columns = cells.groupBy("feature", "b").agg(F.sum("n").alias("n_b"))
     whole = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    return cells.join(rows, ["feature", "a"]).join(columns, ["feature", "b"]).join(F.broadcast(whole), "feature")
+    # A class has a cell for every level of a feature. With the extra join column both sides arrive
+    # by plain exchanges (the aggregate's own partitioning doesn't do), so AQE may split a large class.
+    key = F.xxhash64("feature", "b")
+    both = cells.join(rows, ["feature", "a"]).withColumn("_key", key)
+    return both.join(columns.withColumn("_key", key), ["_key", "feature", "b"]).drop("_key").join(F.broadcast(whole), "feature")
 
 
 def _cell_stats(table: DataFrame) -> DataFrame:
