@@ -46,12 +46,15 @@ def _words_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``rows(key, text, lang)`` to at most ``fit_rows`` rows of each language, first in hash order of the key.
 
-    Rows without a language are left out. The rank filter works inside every
-    task before the shuffle, so a large language does not meet in one task.
+    Rows without a language are left out. A language's rows are first thinned by
+    their hash to about twice the wanted number (and a thousand more), so the
+    ranking meets a bounded number of rows however many carry the label.
     """
-    order = Window.partitionBy("lang").orderBy("h", "key")
     known = rows.filter("lang is not null").withColumn("h", F.xxhash64("key", F.lit(11)))
-    return known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fit_rows).select("lang", "text")
+    share = known.groupBy("lang").agg((F.lit(2.0 * fit_rows + 1000) / F.count("*")).alias("share"))
+    near = known.join(F.broadcast(share), "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))  # one row a language
+    order = Window.partitionBy("lang").orderBy("h", "key")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fit_rows).select("lang", "text")
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, min_count: int = MIN_COUNT) -> "Model":
