@@ -1,23 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Spark ranks the n-grams of every test item by how few items share them and how
-few items share their rarest word; the rarer half of an item's n-grams are its
-seeds. Test items are dealt to parts of bounded size, and the seeds of one part
-are broadcast. A task finds the seeds in its documents, groups the hits of one
-item by neighbouring diagonals and aligns the passage around each group with the
-item. Nothing of a document is shuffled, and a passage that many documents share
-costs each of them one alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every n-gram of a test item is a seed, so any part of it may be what a document
+holds. Test items are dealt to parts of bounded size, and the seeds of one part
+are broadcast. A task finds the seeds in its documents, looking at the word of a
+seed that fewest items have, groups the hits of one item by neighbouring
+diagonals and aligns the passage around each group with the item, unless it has
+too few of the item's words for any alignment to be accepted. Nothing of a
+document is shuffled, and a passage that many documents share costs each of them
+one alignment.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -42,22 +43,15 @@ def _words_udf(texts: pd.Series) -> pd.Series:
 
 
 def seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """``items(item, text)`` to item, at (position), gram (array of n words): the rarer half of each item's n-grams.
+    """``items(item, text)`` to item, at (position), gram (array of n words): every n-gram of each item.
 
-    Ties at the middle go by position. Items of fewer than MIN_ITEM_WORDS words
-    say too little to be found and get no seed.
+    Items of fewer than MIN_ITEM_WORDS words say too little to be found and get
+    no seed.
     """
     worded = items.select("item", _words_udf("text").alias("w")).filter(F.size("w") >= MIN_ITEM_WORDS)
-    words = worded.select("item", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("of_word"))
-    grams = worded.select("item", F.posexplode(F.transform(
+    return worded.select("item", F.posexplode(F.transform(
         F.slice("w", 1, F.size("w") - (n - 1)), lambda x, i: F.slice(F.col("w"), i + 1, n)
     )).alias("at", "gram"))
-    shared = grams.groupBy("gram").agg(F.count_distinct("item").alias("of_gram"))
-    rarest = grams.select("item", "at", F.explode("gram").alias("word")).join(words, "word").groupBy("item", "at").agg(F.min("of_word").alias("of_word"))
-    order = Window.partitionBy("item").orderBy("of_gram", "of_word", "at")
-    ranked = grams.join(shared, "gram").join(rarest, ["item", "at"]).withColumn("r", F.row_number().over(order))
-    ranked = ranked.withColumn("of", F.count("*").over(Window.partitionBy("item")))
-    return ranked.filter(2 * F.col("r") <= F.col("of") + 1).select("item", "at", "gram")
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -93,6 +87,7 @@ class _Part:
 
     def __init__(self, items: dict, seed_rows: list) -> None:
         self.items = items
+        self.counts = {item: Counter(w) for item, w in items.items()}
         self.grams: dict[tuple, list] = defaultdict(list)
         use: dict[bytes, int] = defaultdict(int)
         for w in items.values():
@@ -117,13 +112,19 @@ class _Part:
                         hits.setdefault(item, set()).add(i - k - at)
         found = []
         for item, diagonals in hits.items():
-            own = self.items[item]
+            own, counts = self.items[item], self.counts[item]
+            least = min(limit * MATCH * len(own), MATCH * LONG_SPAN)
             slack = max(8, len(own) // 2)
             best = None
             for lo, hi in _bands(sorted(diagonals), slack):
                 start = max(0, lo - slack)
-                score, first, last = smith_waterman(own, w[start:hi + len(own) + slack])
-                if (score >= limit * MATCH * len(own) or score >= MATCH * LONG_SPAN) and (best is None or score > best[1]):
+                passage = w[start:hi + len(own) + slack]
+                # An alignment matches no word more often than both sides have it.
+                common = Counter(x for x in passage if x in counts)
+                if MATCH * sum(min(c, counts[x]) for x, c in common.items()) < least:
+                    continue
+                score, first, last = smith_waterman(own, passage)
+                if score >= least and (best is None or score > best[1]):
                     best = (item, score, start + first, start + last)
             if best:
                 found.append((item, min(1.0, best[1] / (MATCH * len(own))), *best[2:]))

@@ -71,6 +71,33 @@ def test_exact_edited_and_clean_passages(spark):
     assert df.filter(F.size(none) > 0).count() == 0 and df.limit(0).select(none).count() == 0
 
 
+def test_halves_and_paraphrases_of_items_as_alignment_alone_finds_them(spark):
+    import random
+
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    items = {i: [rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(rng.randrange(15, 50))] for i in range(40)}
+    use = Counter(x for w in items.values() for x in set(w))
+    docs = {}
+    for i, w in items.items():
+        scarce = set(sorted(range(len(w)), key=lambda k: use[w[k]])[:len(w) // 4])
+        around = lambda words: ["pad"] * 20 + words + ["end"] * 20
+        docs[i] = around(w[:len(w) // 2 + 1])
+        docs[100 + i] = around(w[len(w) // 2:])
+        docs[200 + i] = around(["zzz" if k in scarce else x for k, x in enumerate(w)])
+    # What alignment finds with a common 3-gram to start from; the others have no seed whatever is looked up.
+    grams = {i: {tuple(w[k:k + 3]) for k in range(len(w) - 2)} for i, w in items.items()}
+    want = {(d, i) for d, words in docs.items() for i, w in items.items()
+            if decontaminate.smith_waterman([x.encode() for x in w], [x.encode() for x in words])[0] >= len(w)
+            and grams[i] & {tuple(words[k:k + 3]) for k in range(len(words) - 2)}}
+    assert {(100 + i, i) for i in items} <= want
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    for parts in (9, 50_000):
+        got = df.select("doc_id", F.explode(decontaminate.contamination(F.col("text"), table, items_per_part=parts)).alias("h")).select("doc_id", "h.item_id").collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_minimum_cut_equals_all_labellings():
     import itertools
     import random
