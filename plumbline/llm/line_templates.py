@@ -5,9 +5,10 @@ and web addresses) become ``<*>``. A path through the tree of fixed depth is the
 number of tokens and the leading tokens; lines of one path are compared with the
 path's most common line, position by position. A line that agrees on at least
 ``SIMILARITY`` of the positions belongs to its template, with the differing
-positions as variable fields; any other line is a template of its own. Templates
-found in ``MIN_DOCS`` different texts or more are dropped, but for the text in
-which they come first.
+positions as variable fields. The lines left over form further templates of the
+path in the same way, as long as any of them may recur; a line that agrees with
+none is a template of its own. Templates found in ``MIN_DOCS`` different texts or
+more are dropped, but for the text in which they come first.
 
 Only hashes of lines are shuffled; paths that are too rare for any of their
 templates to recur are gone before a line's tokens are fetched again.
@@ -45,6 +46,64 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.filter(F.col("line").rlike(ENOUGH)).withColumn("raw", F.xxhash64("line"))
 
 
+def _agree(a: Column, b: Column) -> Column:
+    """Number of positions at which two token arrays of one length agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+
+
+def _parts(tokens: Column, similarity: float) -> Column:
+    """array<struct<i, part>>: lines of one path that agree on ``similarity`` of the positions have an element in common.
+
+    With one position to differ, the parts are the line without each position;
+    with more, the line is cut into one part more than positions may differ.
+    Lines in which no position may differ have no part.
+    """
+    size = F.size(tokens)
+    free, spare = F.greatest(size - DEPTH, F.lit(0)), (size - F.ceil(F.lit(similarity) * size)).cast("int")
+    edge = lambda i: (F.floor(i * free / (spare + 1)) + F.least(size, F.lit(DEPTH))).cast("int")
+    without = F.transform(F.sequence(F.lit(0), F.greatest(free - 1, F.lit(0))), lambda i: F.struct(
+        i.alias("i"), F.xxhash64(F.filter(tokens, lambda x, j: j != i + DEPTH)).alias("part")))
+    cut = F.transform(F.sequence(F.lit(0), spare), lambda i: F.struct(
+        i.alias("i"), F.xxhash64(F.slice(tokens, edge(i) + 1, edge(i + 1) - edge(i))).alias("part")))
+    return F.when((spare == 1) & (free > 0), without).when(spare > 0, cut)
+
+
+def _further_templates(rest: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """``rest(path, line, masked, rank)``, the lines that no template has yet, to path, line, other: the lines that join another.
+
+    Lines meet under equal parts. A line leads a part if it ranks highest there
+    among the lines that may still recur, by the texts of all lines it meets; a
+    leader that agrees with no higher one makes a template and takes the lines
+    that agree with it. What is left goes round again.
+    """
+    line = ["path", "line"]
+    rest = stored(rest.select(*line, "masked", "rank"))
+    placed = rest.select(*line, F.col("line").alias("other")).limit(0)
+    while True:
+        parts = rest.select(*line, "rank", F.explode(_parts(F.split("masked", " "), similarity)).alias("p"))
+        parts = stored(parts.select(*line, "rank", F.xxhash64("path", "p.i", "p.part").alias("part")))
+        met = stored(parts.groupBy("part").agg(F.sum("rank.n").alias("texts"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds"))
+        able = parts.join(met, "part").groupBy(*line).agg(F.first("rank").alias("rank"), F.sum("texts").alias("texts"))
+        able = stored(able.filter(F.col("texts") >= min_docs).select(*line))
+        if able.isEmpty():
+            return placed
+        leaders = stored(parts.join(able, line).groupBy("part").agg(F.max("rank").alias("lead")))
+        # Lines that cannot recur themselves may still join a leader that ranks below them.
+        may = parts.join(leaders, "part").join(able.withColumn("able", F.lit(True)), line, "left")
+        may = stored(may.select(*line, "lead", (~F.coalesce("able", F.lit(False)) | (F.col("lead") > F.col("rank"))).alias("below")).distinct())
+        bodies = rest.select(*line, "masked")
+        tried = may.filter("below").withColumn("other", F.col("lead.line")).join(bodies, line)
+        tried = tried.join(bodies.select("path", F.col("line").alias("other"), F.col("masked").alias("other_masked")), ["path", "other"])
+        a, b = F.split("masked", " "), F.split("other_masked", " ")
+        near = tried.filter(_agree(a, b) >= F.lit(similarity) * F.size(a))
+        near = stored(near.groupBy(*line).agg(F.max("lead").alias("lead")).select(*line, F.col("lead.line").alias("other")))
+        made = stored(may.select("path", F.col("lead.line").alias("line")).distinct().join(near, line, "left_anti"))
+        joined = near.join(made.withColumnRenamed("line", "other"), ["path", "other"], "left_semi").select(*line, "other")
+        placed = stored(placed.unionByName(joined))
+        rest = rest.join(may.select(*line).distinct(), line, "left_semi").join(made, line, "left_anti")
+        rest = stored(rest.join(placed, line, "left_anti"))
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs(id, text)`` to the lines that are dropped: id, th (text hash), pos, template.
 
@@ -62,9 +121,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     busy = stored(busy)
     # The most common line of a path, the earliest of several.
     leaders = per_line.join(busy, "path")
-    rank = F.struct("n", -F.coalesce("id", F.lit(2**62)), -F.col("pos"), "line")
+    rank = F.struct("n", (-F.coalesce("id", F.lit(2**62))).alias("id"), (-F.col("pos")).alias("pos"), "line")
     seeds = stored(leaders.groupBy("path").agg(F.max(rank).alias("r")).select("path", F.col("r.line").alias("seed")))
-    kinds = stored(leaders.select("path", "line", "raw", "kinds").join(seeds, "path"))
+    kinds = stored(leaders.select("path", "line", "raw", "kinds", rank.alias("rank")).join(seeds, "path"))
     # Tokens are fetched only for paths with more than one kind of line, one line of each kind;
     # by sorted merge at every size, as the wanted lines grow with the input.
     wanted = stored(kinds.filter("kinds > 1").select("path", "line", "raw"))
@@ -73,10 +132,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     seed_text = stored(texts.join(seeds, (texts["path"] == seeds["path"]) & (texts["line"] == seeds["seed"]), "left_semi")
                        .select("path", F.col("masked").alias("seed_masked")))
     a, b = F.split("masked", " "), F.split("seed_masked", " ")
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
-    close = texts.join(seed_text, "path").filter(same >= F.lit(similarity) * F.size(a)).select("path", "line", F.lit(True).alias("close"))
-    named = kinds.join(stored(close), ["path", "line"], "left").select(
-        "path", "line", F.when((F.col("line") == F.col("seed")) | F.col("close"), F.col("seed")).otherwise(F.col("line")).alias("kind")
+    judged = stored(texts.join(seed_text, "path").select("path", "line", "masked", (_agree(a, b) >= F.lit(similarity) * F.size(a)).alias("close")))
+    rest = judged.filter("NOT close").join(kinds.select("path", "line", "rank"), ["path", "line"])
+    others = _further_templates(rest, min_docs, similarity)
+    named = kinds.join(judged.select("path", "line", "close"), ["path", "line"], "left").join(others, ["path", "line"], "left").select(
+        "path", "line", F.when((F.col("line") == F.col("seed")) | F.col("close"), F.col("seed")).otherwise(F.coalesce("other", "line")).alias("kind")
     )
     found = stored(lines.join(stored(named), ["path", "line"]).select("id", "th", "pos", F.xxhash64("path", "kind").alias("template")))
     texts_of = found.groupBy("template", "th").agg(F.min("id").alias("id"))

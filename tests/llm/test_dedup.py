@@ -96,3 +96,14 @@ def test_recurring_templates_go_but_for_their_first_text(spark):
     assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
     kept = line_templates.drop_recurring_lines(df, min_docs=100).collect()
     assert all(r.n_dropped == 0 for r in kept) and len(kept) == len(rows)
+
+
+def test_every_template_of_a_path_is_found(spark):
+    word = lambda i: chr(97 + i // 5) * 3 + "qrstu"[i % 5]
+    families = ["we thank you {} for all the good work today", "we thank you dear {} please come back very soon",
+                "we thank you once more and {} in our small shop where {} bread is sold every day"]
+    rows = [(i, f"own {word(i)} line\n" + "\n".join(f.format(word(i), word(i + 1)) for f in families)) for i in range(12)]
+    rows += [(20 + i, f"we thank you {' '.join(word((i * 7 + k * 5) % 60) for k in range(6))}") for i in range(15)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()}
+    assert all(got[i].text == rows[i][1].split("\n")[0] for i in range(1, 12))
+    assert got[0].text == rows[0][1] and all(r.n_dropped == 0 for i, r in got.items() if i >= 20)
