@@ -17,6 +17,10 @@ from plumbline.llm.queries import vocabulary
 from plumbline.llm.storage import stored, table
 
 
+# Texts from which on a long passage recurs; the query of line dedup follows its SQL, which has one threshold for all lines.
+LONG_DOCS = 2
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -29,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines, ``n_chars`` counted anew; documents of which no word is left go."""
     judged = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id"), F.col("text"))
-    done = line_templates.drop_recurring_lines(judged).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = line_templates.drop_recurring_lines(judged, long_docs=LONG_DOCS).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

@@ -8,7 +8,8 @@ path's most common line, position by position. A line that agrees on at least
 positions as variable fields. The lines left over form further templates of the
 path in the same way, as long as any of them may recur; a line that agrees with
 none is a template of its own. Templates found in ``MIN_DOCS`` different texts or
-more are dropped, but for the text in which they come first.
+more are dropped, but for the text in which they come first; for templates of
+``LONG_TOKENS`` tokens or more the caller may ask for fewer texts.
 
 Only hashes of lines are shuffled; paths that are too rare for any of their
 templates to recur are gone before a line's tokens are fetched again.
@@ -25,6 +26,7 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 10
 MIN_TOKENS = 3
+LONG_TOKENS = 50
 # Runs of blanks that are not a single space already.
 BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 FIELD = r"[0-9]+|://[^\x20]*|@[^\x20]*"
@@ -68,8 +70,8 @@ def _parts(tokens: Column, similarity: float) -> Column:
     return F.when((spare == 1) & (free > 0), without).when(spare > 0, cut)
 
 
-def _further_templates(rest: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """``rest(path, line, masked, rank)``, the lines that no template has yet, to path, line, other: the lines that join another.
+def _further_templates(rest: DataFrame, similarity: float) -> DataFrame:
+    """``rest(path, line, masked, rank, need)``, the lines that no template has yet, to path, line, other: the lines that join another.
 
     Lines meet under equal parts. A line leads a part if it ranks highest there
     among the lines that may still recur, by the texts of all lines it meets; a
@@ -77,14 +79,14 @@ def _further_templates(rest: DataFrame, min_docs: int, similarity: float) -> Dat
     that agree with it. What is left goes round again.
     """
     line = ["path", "line"]
-    rest = stored(rest.select(*line, "masked", "rank"))
+    rest = stored(rest.select(*line, "masked", "rank", "need"))
     placed = rest.select(*line, F.col("line").alias("other")).limit(0)
     while True:
-        parts = rest.select(*line, "rank", F.explode(_parts(F.split("masked", " "), similarity)).alias("p"))
-        parts = stored(parts.select(*line, "rank", F.xxhash64("path", "p.i", "p.part").alias("part")))
+        parts = rest.select(*line, "rank", "need", F.explode(_parts(F.split("masked", " "), similarity)).alias("p"))
+        parts = stored(parts.select(*line, "rank", "need", F.xxhash64("path", "p.i", "p.part").alias("part")))
         met = stored(parts.groupBy("part").agg(F.sum("rank.n").alias("texts"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds"))
-        able = parts.join(met, "part").groupBy(*line).agg(F.first("rank").alias("rank"), F.sum("texts").alias("texts"))
-        able = stored(able.filter(F.col("texts") >= min_docs).select(*line))
+        able = parts.join(met, "part").groupBy(*line).agg(F.min("need").alias("need"), F.sum("texts").alias("texts"))
+        able = stored(able.filter(F.col("texts") >= F.col("need")).select(*line))
         if able.isEmpty():
             return placed
         leaders = stored(parts.join(able, line).groupBy("part").agg(F.max("rank").alias("lead")))
@@ -104,26 +106,30 @@ def _further_templates(rest: DataFrame, min_docs: int, similarity: float) -> Dat
         rest = stored(rest.join(placed, line, "left_anti"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_docs: int | None = None) -> DataFrame:
     """``docs(id, text)`` to the lines that are dropped: id, th (text hash), pos, template.
 
     A template's documents are counted by different texts, so exact copies of a
     document count once; all rows with the text that has the template first
-    (smallest id, then smallest text hash) keep its lines.
+    (smallest id, then smallest text hash) keep its lines. Templates of
+    LONG_TOKENS tokens or more recur from ``long_docs`` texts on, if that is given.
     """
     docs = docs.select("id", F.xxhash64("text").alias("th"), "text")
     masked = _lines(docs).withColumn("masked", _tokens(F.col("line")))
-    lines = stored(masked.select("id", "th", "pos", "raw", _path(F.col("masked")).alias("path"), F.xxhash64("masked").alias("line")))
-    least = [F.min(c).alias(c) for c in ("id", "pos", "raw")]
+    # All lines of a path have one number of tokens, so one threshold.
+    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    need = F.when(tokens >= LONG_TOKENS, min_docs if long_docs is None else long_docs).otherwise(min_docs)
+    lines = stored(masked.select("id", "th", "pos", "raw", need.alias("need"), _path(F.col("masked")).alias("path"), F.xxhash64("masked").alias("line")))
+    least = [F.min(c).alias(c) for c in ("id", "pos", "raw", "need")]
     per_text = lines.groupBy("path", "line", "th").agg(*least)
     per_line = stored(per_text.groupBy("path", "line").agg(F.count("*").alias("n"), *least))
-    busy = per_line.groupBy("path").agg(F.sum("n").alias("texts"), F.count("*").alias("kinds")).filter(F.col("texts") >= min_docs)
-    busy = stored(busy)
+    busy = per_line.groupBy("path").agg(F.sum("n").alias("texts"), F.count("*").alias("kinds"), F.min("need").alias("least"))
+    busy = stored(busy.filter(F.col("texts") >= F.col("least")).drop("least"))
     # The most common line of a path, the earliest of several.
     leaders = per_line.join(busy, "path")
     rank = F.struct("n", (-F.coalesce("id", F.lit(2**62))).alias("id"), (-F.col("pos")).alias("pos"), "line")
     seeds = stored(leaders.groupBy("path").agg(F.max(rank).alias("r")).select("path", F.col("r.line").alias("seed")))
-    kinds = stored(leaders.select("path", "line", "raw", "kinds", rank.alias("rank")).join(seeds, "path"))
+    kinds = stored(leaders.select("path", "line", "raw", "need", "kinds", rank.alias("rank")).join(seeds, "path"))
     # Tokens are fetched only for paths with more than one kind of line, one line of each kind;
     # by sorted merge at every size, as the wanted lines grow with the input.
     wanted = stored(kinds.filter("kinds > 1").select("path", "line", "raw"))
@@ -133,21 +139,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
                        .select("path", F.col("masked").alias("seed_masked")))
     a, b = F.split("masked", " "), F.split("seed_masked", " ")
     judged = stored(texts.join(seed_text, "path").select("path", "line", "masked", (_agree(a, b) >= F.lit(similarity) * F.size(a)).alias("close")))
-    rest = judged.filter("NOT close").join(kinds.select("path", "line", "rank"), ["path", "line"])
-    others = _further_templates(rest, min_docs, similarity)
+    rest = judged.filter("NOT close").join(kinds.select("path", "line", "rank", "need"), ["path", "line"])
+    others = _further_templates(rest, similarity)
     named = kinds.join(judged.select("path", "line", "close"), ["path", "line"], "left").join(others, ["path", "line"], "left").select(
         "path", "line", F.when((F.col("line") == F.col("seed")) | F.col("close"), F.col("seed")).otherwise(F.coalesce("other", "line")).alias("kind")
     )
-    found = stored(lines.join(stored(named), ["path", "line"]).select("id", "th", "pos", F.xxhash64("path", "kind").alias("template")))
-    texts_of = found.groupBy("template", "th").agg(F.min("id").alias("id"))
-    recurring = texts_of.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= min_docs)
+    found = stored(lines.join(stored(named), ["path", "line"]).select("id", "th", "pos", "need", F.xxhash64("path", "kind").alias("template")))
+    texts_of = found.groupBy("template", "th").agg(F.min("id").alias("id"), F.min("need").alias("need"))
+    recurring = texts_of.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min("need").alias("need")).filter("n >= need")
     recurring = stored(recurring.select("template", "first_id"))
     first = found.join(recurring, "template").filter(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("template").agg(F.min("th").alias("first_th"))
     drops = found.join(stored(first), "template").filter("th <> first_th")
     return drops.select("id", "th", "pos", "template")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+                         long_docs: int | None = None) -> DataFrame:
     """Every row of ``docs`` with its text without recurring lines, plus ``n_lines`` and ``n_dropped``.
 
     A null text stays null with zero lines. Lines of fewer than MIN_TOKENS
@@ -158,7 +165,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     new = ("n_lines", "n_dropped")
     keep = [c for c in docs.columns if c not in new]
     c = lambda name: F.col(f"`{name}`")
-    drops = recurring_lines(docs.select(c(id_col).alias("id"), c(text).alias("text")), min_docs, similarity)
+    drops = recurring_lines(docs.select(c(id_col).alias("id"), c(text).alias("text")), min_docs, similarity, long_docs)
     drops = stored(drops.groupBy(F.col("id").alias("_id"), F.col("th").alias("_of")).agg(F.collect_set("pos").alias("_drop")))
     lines = F.split(c(text), "\n")
     base = docs.select(*[c(k) for k in keep], F.xxhash64(c(text)).alias("_th"))

@@ -77,3 +77,14 @@ def test_odd_rows_pass_through_all_stages(spark):
         for _, stage in corpus_pipeline.STAGES:
             table = stored(stage(spark, table, SF))
         assert {r.doc_id for r in table.collect()} <= {1, None}
+
+
+def test_long_passages_of_two_texts_go_and_short_lines_stay(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    edited = passage.replace("wdb", "other")
+    rows = [(i, f"own line number {w} here\n{p}\nthe same short line", "en", "s", 1) for i, w, p in [(1, "x", passage), (2, "y", passage), (3, "z", edited)]]
+    rows += [(4, rows[0][1], "en", "s", 1)]
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert got[1] == got[4] == rows[0][1].split("\n")
+    assert got[2] == ["own line number y here", "the same short line"] and got[3] == ["own line number z here", "the same short line"]
