@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontaminate, html_text, language, licenses, line_templates
 from plumbline.llm import quality_rules as rules
-from plumbline.llm import packing, sharding, simhash
+from plumbline.llm import minhash, packing, sharding, simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,8 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
         labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+@_query("op13_minhash_near_dedup")
+def op13_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.minhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
