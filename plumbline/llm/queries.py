@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontaminate, html_text, language, licenses, line_templates
 from plumbline.llm import quality_rules as rules
-from plumbline.llm import minhash, packing, sharding, simhash
+from plumbline.llm import minhash, packing, prefix_trie, sharding, simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,37 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op13_minhash_near_dedup")
 def op13_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.minhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ord(s)::BIGINT)), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
+PREFIX_TRIE_SQL = f"""
+turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, c - c % 100 AS base, {_crc32_sql("c::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+taken AS (SELECT heads.*, (SELECT count(*) FROM turns t WHERE t.c = heads.base AND t.pos < heads.h) AS taken FROM heads),
+rebuilt AS (SELECT heads.c, pos, role, text FROM heads JOIN turns ON turns.c = heads.base AND turns.pos < heads.h
+  UNION ALL SELECT taken.c, pos - h + taken, role, text FROM taken JOIN turns ON turns.c = taken.c AND turns.pos >= taken.h),
+listed AS (SELECT heads.c, coalesce(list(md5(length(role)::VARCHAR || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ids,
+  coalesce(list(length(text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS chars FROM heads LEFT JOIN rebuilt USING (c) GROUP BY heads.c),
+prefixes AS (SELECT c, d, md5(array_to_string(ids[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ids[1:d - 1], ',')) END AS up,
+  CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars, len(ids) = d AS ends FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM listed)),
+nodes AS (SELECT d, k, first(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * first(chars) AS saved, bool_and(ends) AS leaf,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, k),
+below AS (SELECT p.d, p.k, sum(leaf::INT) AS n_leaves, sum(saved) AS saved, count(*) FILTER (nodes.d = p.d + 1) AS n_children
+  FROM nodes JOIN prefixes p ON p.c = nodes.c AND p.d <= nodes.d GROUP BY 1, 2)"""
+
+
+@_query("op11_prefix_trie", f"""WITH {PREFIX_TRIE_SQL}
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, b.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (d, k) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.up""")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    id_ = F.col("conv_id")
+    convs, turns = prefix_trie.with_shared_heads(prefix_trie.ordered_turns(rows), F.crc32(id_.cast("string").cast("binary")) % 6, id_ - id_ % 100)
+    return prefix_trie.prefix_trie(convs, turns)
