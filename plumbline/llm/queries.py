@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontaminate, html_text, language, licenses, line_templates
 from plumbline.llm import quality_rules as rules
-from plumbline.llm import minhash, packing, prefix_trie, sharding, simhash
+from plumbline.llm import minhash, packing, prefix_trie, repair, sharding, simhash
 from plumbline.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,69 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     id_ = F.col("conv_id")
     convs, turns = prefix_trie.with_shared_heads(prefix_trie.ordered_turns(rows), F.crc32(id_.cast("string").cast("binary")) % 6, id_ - id_ % 100)
     return prefix_trie.prefix_trie(convs, turns)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations with a fifth of them damaged, by a hash of conversation and turn; nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c), F.lit(" "))
+    place = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(place.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    out = rows.filter("conv_id IS NOT NULL").withColumn("kind", kind).filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return out.drop("copy")
+
+
+def _least_sql(*candidates: str) -> str:
+    return f"list_sort([{', '.join(candidates)}])[1]"
+
+
+def _path_sql(of: str, cost: str, letters: str, line: str = "''") -> str:
+    return f"{{'c': {of}.c + {cost}, 'a': {of}.a || '{letters}', 't': {of}.t || {line}}}"
+
+
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_KEEP = "chr(10) || role || ':' || text"
+REPAIR_SQL = rf"""
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(conv_id::VARCHAR || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations WHERE conv_id IS NOT NULL),
+bad AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM bad),
+marked AS (SELECT *, left(role, 1) AS x, cut = '' AS blank, cut <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+  coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+judged AS (SELECT *, NOT blank AND NOT dup AND right(cut, 1) NOT IN ('.', '!', '?') AS trunc, blank OR dup AS gone FROM marked),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (trunc) AS truncated, count(*) FILTER (illegal) AS illegal FROM judged GROUP BY 1),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS f0, {{'c': 1000000, 'a': '', 't': ''}} AS f1, {{'c': 1000000, 'a': '', 't': ''}} AS f2, {{'c': 1000000, 'a': '', 't': ''}} AS f3 FROM counts
+  UNION ALL SELECT conv_id, i,
+    CASE WHEN gone THEN {_path_sql("g0", "4", "D")} ELSE {_path_sql("g0", "4", "D")} END,
+    CASE WHEN gone THEN {_path_sql("g1", "4", "D")} ELSE {_least_sql(_path_sql("g1", "4", "D"), _path_sql("g0", "CASE WHEN x = 's' THEN e ELSE 1000000 END", "K", _KEEP))} END,
+    CASE WHEN gone THEN {_path_sql("g2", "4", "D")} ELSE {_least_sql(_path_sql("g2", "4", "D"), *[
+        _path_sql(g, "CASE WHEN x = 'u' THEN e ELSE 1000000 END", "K", _KEEP) for g in ("g0", "g1", "g3")], *[_path_sql(g, "3 + e", "R", f"{_USER} || text") for g in ("g0", "g1", "g3")])} END,
+    CASE WHEN gone THEN {_path_sql("g3", "4", "D")} ELSE {_least_sql(_path_sql("g3", "4", "D"),
+        _path_sql("g2", "CASE WHEN x = 'a' THEN e ELSE 1000000 END", "K", _KEEP), _path_sql("g2", "3 + e", "R", f"{_ASSISTANT} || text"))} END
+  FROM (SELECT d.conv_id, j.i, j.x, j.gone, CASE WHEN j.trunc THEN 3 ELSE 0 END AS e, j.role, j.text, f0 AS g0, f1 AS g1,
+    {_least_sql("f2", _path_sql("f0", "3", "I", _USER), _path_sql("f1", "3", "I", _USER), _path_sql("f3", "3", "I", _USER))} AS g2,
+    {_least_sql("f3", _path_sql("f2", "3", "I", _ASSISTANT), _path_sql("f0", "6", "II", f"{_USER} || {_ASSISTANT}"), _path_sql("f1", "6", "II", f"{_USER} || {_ASSISTANT}"))} AS g3
+    FROM dp d JOIN judged j ON j.conv_id = d.conv_id AND j.i = d.i + 1)),
+best AS (SELECT conv_id, {_least_sql("f0", "f3", _path_sql("f2", "3", "I", _ASSISTANT), _path_sql("f1", "6", "II", f"{_USER} || {_ASSISTANT}"))} AS b FROM dp JOIN counts USING (conv_id) WHERE i = n)"""
+
+
+@_query("op12_conversation_repair", f"""WITH RECURSIVE {REPAIR_SQL}
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM given) o LEFT JOIN counts USING (conv_id) LEFT JOIN best USING (conv_id)""")
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.repair(damaged(rows))
+    ids = rows.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    zero = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(done, "conv_id", "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in zero], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
