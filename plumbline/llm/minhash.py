@@ -11,8 +11,9 @@ full sets.
 No pairs of a bucket are ever made. Texts of equal words are one node. First
 every node is held against one node, the least of the bucket it shares with
 others most often, and components are formed: that settles groups of near copies
-with one comparison a text. What is left are buckets in which several components
-meet; their members are dealt to chunks, members outside the largest component
+with one comparison a text. Then components that meet in a bucket are held
+against each other through its least and its greatest node, one comparison for
+two components. What is left are buckets in which several components meet; their members are dealt to chunks, members outside the largest component
 meet all chunks, and a call looks at two chunks: it returns the nodes with a
 likely partner in another component, and for those, with their texts, a spanning
 forest of the confirmed links.
@@ -156,20 +157,37 @@ def _meeting(nodes: pd.Series, roots: pd.Series, signatures: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
+def spanning(roots: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of confirmed links that join the components among the members of a group; none between members joined already."""
+    links, joined = [], roots.copy()
+    _, shingles = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    offset = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(shingles) and int(shingles.max()) + 1, np.int64)
+    for i in range(len(roots) - 1):
+        near = ((signatures[i + 1:] == signatures[i]).sum(axis=1) >= SIGN_AT) & (joined[i + 1:] != joined[i])
+        if not near.any():
+            continue
+        own = shingles[offset[i]:offset[i + 1]]
+        mark[own] = 1
+        first, last = i + 1 + int(near.argmax()), len(roots) - int(near[::-1].argmax())
+        both = np.add.reduceat(mark[shingles[offset[first]:offset[last]]], offset[first:last] - offset[first])
+        mark[own] = 0
+        close_by = near[first - i - 1:last - i - 1] & (100 * both >= percent * (size[i] + size[first:last] - both))
+        for j in np.flatnonzero(close_by) + first:
+            if joined[i] != joined[j]:
+                links.append((i, int(j)))
+                joined[joined == joined[j]] = joined[i]
+    return links
+
+
 def _forest(k: int, percent: int):
     @F.pandas_udf("array<struct<a: long, b: long>>")
     def forest(nodes: pd.Series, roots: pd.Series, signatures: pd.Series, texts: pd.Series) -> pd.Series:
-        """Confirmed links between the components of a group; a pair already joined is not looked at again."""
         out = []
         for n, r, s, t in zip(nodes, roots, signatures, texts):
-            r, s, found = np.asarray(r, np.int64).copy(), _bytes(s), []
-            sets = [shingle_set(words(x), k) for x in t]
-            for i in range(len(r) - 1):
-                for j in np.flatnonzero((s[i + 1:] == s[i]).sum(axis=1) >= SIGN_AT) + i + 1:
-                    if r[i] != r[j] and close(sets[i], sets[j], percent):
-                        found.append({"a": int(n[i]), "b": int(n[j])})
-                        r[r == r[j]] = r[i]
-            out.append(found)
+            found = spanning(np.asarray(r, np.int64), _bytes(s), [shingle_set(words(x), k) for x in t], percent)
+            out.append([{"a": int(n[i]), "b": int(n[j])} for i, j in found])
         return pd.Series(out)
 
     return forest
@@ -205,6 +223,16 @@ def _mixed(shared: DataFrame, chunk: int) -> DataFrame:
     return dealt.select("b", "node", "root", F.explode(places).alias("p")).select("b", "p.i", "p.j", "node", "root")
 
 
+def _joined(nodes: DataFrame, known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node``, ``root`` of every node: the components known, joined by further links between their members."""
+    if known is None:
+        known = nodes.select("node", F.col("node").alias("root"))
+    at = lambda side: known.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    over = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    grown = connected(over).select(F.col("node").alias("mid"), F.col("root").alias("to"))
+    return known.withColumnRenamed("root", "mid").join(grown, "mid", "left").select("node", F.coalesce("to", "mid").alias("root"))
+
+
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
                    chunk: int = CHUNK) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``, repeated rows included.
@@ -228,44 +256,43 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     keyed = nodes.select("node", F.explode("bands").alias("b"))
-    buckets = stored(keyed.groupBy("b").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    shared = stored(keyed.join(buckets, "b"))
+    buckets = keyed.groupBy("b").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n"))
+    shared = stored(keyed.join(stored(buckets.filter("n > 1").drop("n")), "b"))
 
     signs = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"{name}_s"))
+    likely = lambda pairs: pairs.join(signs("node"), "node").join(signs("hub"), "hub").filter(_likely("node_s", "hub_s")).drop("node_s", "hub_s")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+        texts = stored(_texts_of(nodes, ends, docs, id_col, text))
+        both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        return stored(both.filter(_confirming(shingle, percent)("hub_text", "text")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
     often = shared.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     pairs = often.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
-    pairs = stored(pairs.join(signs("node"), "node").join(signs("hub"), "hub").filter(_likely("node_s", "hub_s")).select("node", "hub"))
-    ends = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
-    texts = stored(_texts_of(nodes, ends, docs, id_col, text))
-    confirmed = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    confirmed = confirmed.filter(_confirming(shingle, percent)("hub_text", "text"))
-    first = stored(connected(confirmed.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-
-    rooted = shared.select("b", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = stored(_joined(nodes, None, confirmed(stored(likely(pairs)))))
+
+    root_of = lambda name: first.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    both = shared.select("node", "hub").unionByName(shared.select("node", F.col("top").alias("hub")))
+    apart = both.join(root_of("node"), "node").join(root_of("hub"), "hub").filter("node_root <> hub_root")
+    ways = likely(apart.distinct()).groupBy(F.least("node_root", "hub_root"), F.greatest("node_root", "hub_root")).agg(F.min(F.struct("node", "hub")).alias("w"))
+    first = stored(_joined(nodes, first, confirmed(stored(ways.select("w.node", "w.hub")))))
+
+    rooted = shared.select("b", "node").join(first, "node")
     places = _mixed(stored(rooted), chunk).join(signs("node"), "node")
     groups = places.groupBy("b", "i", "j").agg(F.collect_list(F.struct("node", "root", F.col("node_s").alias("s"))).alias("m"))
     met = groups.select(_meeting("m.node", "m.root", "m.s").alias("met")).filter(F.size("met") > 1).distinct()
     met = stored(met.withColumn("g", F.monotonically_increasing_id()))
     members = stored(met.select("g", F.explode("met").alias("node")))
     texts = stored(_texts_of(nodes, members.select("node").distinct(), docs, id_col, text))
-    given = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    given = given.join(signs("node"), "node").join(texts, "node")
+    given = members.join(first, "node").join(signs("node"), "node").join(texts, "node")
     gathered = given.groupBy("g").agg(F.collect_list(F.struct("node", "root", F.col("node_s").alias("s"), "text")).alias("m"))
     links = gathered.select(F.explode(_forest(shingle, percent)("m.node", "m.root", "m.s", "m.text")).alias("l")).select("l.a", "l.b")
 
-    named = stored(_final_roots(nodes.select("node"), first, stored(links)))
+    named = stored(_joined(nodes, first, stored(links)))
     owned = nodes.select("node", "text_key", F.col("least.id").alias("id")).join(named, "node")
     smallest = stored(owned.groupBy("root").agg(F.min("id").alias("component_id")))
     classes = stored(owned.select("text_key", "root").join(smallest, "root").select("text_key", "component_id"))
     out = rows.select("id", "n_shingles", "text_key").join(classes, "text_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
-
-
-def _final_roots(nodes: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
-    """``node``, ``root`` of every node: the first components, joined by the further links between them."""
-    at = lambda side: first.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    over = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    joined = connected(over.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    begun = nodes.join(first, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root")
-    return begun.join(joined.withColumnRenamed("node", "mid"), "mid", "left").select("node", F.coalesce("root", "mid").alias("root"))
