@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import explain as X
 from plumbline.operators import robustness as B
 from plumbline.operators import scoring as S
+from plumbline.operators import trees as R
 
 from .common import Registry, dbl, r6, rounded, table
 
@@ -36,6 +37,65 @@ def by_hand(pdf):
 SCALES = "sc AS (SELECT " + ", ".join(f"stddev_samp({f}) AS s_{f}" for f in FEATURES) + " FROM lineitem)"
 
 
+# Two trees over line items: tree, node, feature, threshold, left, right, value. Their covers are counted on the table.
+TREES = [
+    (0, 0, "l_quantity", 25.0, 1, 2, None), (0, 1, "l_discount", 0.04, 3, 4, None), (0, 2, "l_extendedprice", 50000.0, 5, 6, None),
+    (0, 3, None, None, None, None, 0.2), (0, 4, None, None, None, None, -0.1), (0, 5, None, None, None, None, 0.05),
+    (0, 6, "l_quantity", 40.0, 7, 8, None), (0, 7, None, None, None, None, 0.3), (0, 8, None, None, None, None, -0.25),
+    (1, 0, "l_tax", 0.03, 1, 2, None), (1, 1, None, None, None, None, -0.15), (1, 2, "l_quantity", 10.0, 3, 4, None),
+    (1, 3, None, None, None, None, 0.4), (1, 4, None, None, None, None, 0.0625),
+]
+
+
+def trees(s, d):
+    nodes = s.createDataFrame(TREES, "tree int, node int, feature string, threshold double, left int, right int, value double")
+    nodes = nodes.withColumn("missing_left", F.lit(True))
+    return R.tree_ensemble(R.with_covers(nodes, lines(s, d), FEATURES), offset=0.1)
+
+
+def tree_sql() -> str:
+    """covers(c_tree_node), leaves by cases, and ``tatt``: feature, v for every row by the formula over subsets of a path."""
+    node = {(t, n): x for t, n, *x in TREES}
+    paths = {}
+
+    def down(t, n, conditions, steps):
+        paths[t, n] = (conditions, steps)
+        feature, threshold, left, right, _ = node[t, n]
+        if feature:
+            for child, sign in ((left, "<="), (right, ">")):
+                down(t, child, [*conditions, f"{feature} {sign} {threshold}"], [*steps, (feature, f"{feature} {sign} {threshold}", (t, n), (t, child))])
+
+    for t in {t for t, _ in node}:
+        down(t, 0, [], [])
+    name = lambda k: f"c_{k[0]}_{k[1]}"
+    covers = ", ".join(f"greatest(count(*) FILTER ({' AND '.join(c) or 'true'}), 1)::DOUBLE AS {name(k)}" for k, (c, _) in paths.items())
+    gains = {f: [] for f in FEATURES}
+    base, score = [], []
+    for k, (conditions, steps) in paths.items():
+        if node[k][0]:
+            continue
+        value, parts = node[k][4], {}
+        for f, cond, above, below in steps:
+            o, z = parts.get(f, ([], []))
+            parts[f] = ([*o, cond], [*z, f"{name(below)} / {name(above)}"])
+        o = {f: f"({' AND '.join(c)})::INT" for f, (c, _) in parts.items()}
+        zs = {f: "(" + " * ".join(z) + ")" for f, (_, z) in parts.items()}
+        base.append(" * ".join([str(value), *zs.values()]))
+        score.append(" * ".join([str(value), *o.values()]))
+        for f in parts:
+            others = [g for g in parts if g != f]
+            if not others:
+                rest = "1"
+            elif len(others) == 1:
+                rest = f"({zs[others[0]]} + {o[others[0]]}) / 2.0"
+            else:
+                a, b = others
+                rest = f"({zs[a]} * {zs[b]} / 3.0 + ({o[a]} * {zs[b]} + {zs[a]} * {o[b]}) / 6.0 + {o[a]} * {o[b]} / 3.0)"
+            gains[f].append(f"{value} * ({o[f]} - {zs[f]}) * {rest}")
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS feature, {' + '.join(g) or '0.0'} AS v FROM lineitem, covers" for f, g in gains.items())
+    return f"covers AS (SELECT {covers} FROM lineitem), tatt AS ({cells}), tscore AS (SELECT 0.1 + {' + '.join(score)} AS p, 0.1 + {' + '.join(base)} AS base FROM lineitem, covers)"
+
+
 def register(r: Registry) -> None:
     probs = f"pr AS (SELECT *, {z()} AS p FROM lineitem)"
     agg = f"count(*) AS n, {r6('avg(p)', 'mean_p')}, {r6('min(p)', 'min_p')}, {r6('max(p)', 'max_p')}, sum((p >= 0.5)::INT)::BIGINT AS positives"
@@ -109,6 +169,36 @@ def register(r: Registry) -> None:
         f"""WITH {glob} SELECT feature, n, {r6('ma', 'mean_abs')}, {r6('ms', 'mean_signed')}, {r6('md', 'median_abs')}, {r6('pr', 'positive_rate')},
         {r6('nr', 'negative_rate')}, {r6('share', 'share')}, rank FROM gr""",
     )
+    r.add(
+        "md1_score_trees",
+        lambda s, d: rounded(S.score(lines(s, d), trees(s, d), FEATURES).agg(F.count("p").alias("n"), F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))),
+        f"WITH {tree_sql()} SELECT count(*) AS n, {r6('avg(p)', 'mean_p')}, {r6('min(p)', 'min_p')}, {r6('max(p)', 'max_p')} FROM tscore",
+    )
+    tree_rows = lambda s, d: S.attribute(lines(s, d), trees(s, d), FEATURES, KEY)
+    r.add(
+        "md2_attribute_trees",
+        lambda s, d: rounded(tree_rows(s, d).groupBy("feature").agg(
+            F.count("value").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.avg("value").alias("mean"), F.avg(F.col("value") * F.col("value")).alias("square"))),
+        f"WITH {tree_sql()} SELECT feature, count(*) AS n, {r6('max(v)', 'hi')}, {r6('min(v)', 'lo')}, {r6('avg(v)', 'mean')}, {r6('avg(v * v)', 'square')} FROM tatt GROUP BY 1",
+    )
+
+    def sums(s, d):
+        model = trees(s, d)
+        whole = S.attribute(lines(s, d), model, FEATURES, KEY).agg(F.sum("value").alias("v"))
+        scored = S.score(lines(s, d), model, FEATURES).agg(F.sum("p").alias("p"), F.count("*").alias("n"))
+        return rounded(whole.crossJoin(scored).select("n", F.lit(model.base()).alias("base"), F.abs(F.col("v") + F.col("n") * model.base() - F.col("p")).alias("left_over")))
+
+    r.add(
+        "md2_tree_sums",
+        sums,
+        f"WITH {tree_sql()} SELECT count(*) AS n, {r6('max(base)', 'base')}, 0.0::DOUBLE AS left_over FROM tscore",
+    )
+    r.add(
+        "xp2_global_attribution_trees",
+        lambda s, d: rounded(X.global_attribution(tree_rows(s, d))).select("feature", "n", "mean_abs", "mean_signed", "share", "rank"),
+        f"""WITH {tree_sql()}, ga AS (SELECT feature, count(*) AS n, avg(abs(v)) AS ma, avg(v) AS ms FROM tatt GROUP BY 1)
+        SELECT feature, n, {r6('ma', 'mean_abs')}, {r6('ms', 'mean_signed')}, {r6('ma / sum(ma) OVER ()', 'share')}, row_number() OVER (ORDER BY ma DESC, feature) AS rank FROM ga""",
+    )
     r.add(
         "xp3_rank_agreement",
         lambda s, d: rounded(X.rank_agreement(X.global_attribution(attr(s, d)), _by_scale(s, d))),

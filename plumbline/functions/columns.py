@@ -104,3 +104,16 @@ def row_key(df: DataFrame) -> Column:
         text = col(f.name).cast("string")
         parts.append(F.when(missing(df, f.name), F.lit("-")).otherwise(F.concat(F.length(text), F.lit(":"), text)))
     return F.md5(F.concat(F.lit(""), *parts))
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of a number from 1 on: six steps of the recurrence, then the asymptotic series."""
+    x = n.cast("double")
+    y = x + 6.0
+    steps = [F.lit(1.0) / (x + float(i)) for i in range(6)]
+    q = F.lit(1.0) / (y * y)
+    series = q * (F.lit(-1 / 12) + q * (F.lit(1 / 120) + q * (F.lit(-1 / 252) + q * F.lit(1 / 240))))
+    total = steps[0]
+    for s in steps[1:]:
+        total = total + s
+    return F.log(y) - F.lit(0.5) / y + series - total

@@ -1,7 +1,7 @@
 """Scoring and attribution with a user-supplied model.
 
-A model is either a ``LinearModel`` (pure column arithmetic, stays in the JVM)
-or any function ``pandas.DataFrame -> array of positive-class probabilities``,
+A model is a ``LinearModel`` (pure column arithmetic), a ``TreeEnsemble`` (array
+expressions over its paths; both stay in the JVM) or any function ``pandas.DataFrame -> array of positive-class probabilities``,
 which runs in Arrow batches inside the tasks.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, finite
 from ..functions.cumulative import melt
+from .trees import TreeEnsemble, tree_attribution, tree_score
 
 
 @dataclass
@@ -41,7 +42,7 @@ class LinearModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) if self.logistic else z
 
 
-Model = LinearModel | Callable[[pd.DataFrame], "object"]
+Model = LinearModel | TreeEnsemble | Callable[[pd.DataFrame], "object"]
 
 
 def score(df: DataFrame, model: Model, features: Sequence[str], out: str = "p", loader: bool = False) -> DataFrame:
@@ -49,6 +50,8 @@ def score(df: DataFrame, model: Model, features: Sequence[str], out: str = "p",
     function, and is called once per task, so a large model is loaded once, not per batch."""
     if isinstance(model, LinearModel):
         return df.withColumn(out, model.column())
+    if isinstance(model, TreeEnsemble):
+        return tree_score(df, model, features, out)
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -66,14 +69,17 @@ def score(df: DataFrame, model: Model, features: Sequence[str], out: str = "p",
 
 
 def attribute(
-    df: DataFrame, explainer: LinearModel | Callable[[pd.DataFrame], pd.DataFrame], features: Sequence[str], key: Sequence[str]
+    df: DataFrame, explainer: LinearModel | TreeEnsemble | Callable[[pd.DataFrame], pd.DataFrame], features: Sequence[str], key: Sequence[str]
 ) -> DataFrame:
     """Tall attribution table: key, feature, x, value.
 
-    For a linear model the attribution is exact: coefficient x (value - mean).
+    For a linear model the attribution is exact: coefficient x (value - mean);
+    for a tree ensemble it is the path-dependent Shapley value of the margin.
     Otherwise ``explainer`` maps a batch of features to one column per feature.
     """
     names = list(features)
+    if isinstance(explainer, TreeEnsemble):
+        return tree_attribution(df, explainer, names, key)
     if isinstance(explainer, LinearModel):
         means = explainer.means or {
             r["feature"]: r["mean"] for r in _means(df, names).collect()
