@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import experiments as E
+from plumbline.operators import isotonic as I
 
-from .common import SCORED_DOCS, Registry, r6, rounded, scored_docs, table
+from .common import SCORED_DOCS, SCORED_LINES, Registry, r6, rounded, scored_docs, scored_lines, table
 from .models import KEY
-from .performance import CELLS, grid_sql, rates
+from .performance import BRIER, CELLS, cal_sql, grid_sql, rates
 
 
 def _stats(df, c):
@@ -30,6 +31,15 @@ PAIR_SQL = f"""{SCORED_DOCS}, pr AS (SELECT doc_id, lang, y, p, (p >= 0.5)::INT
   CASE WHEN n_chars % 2 = 0 THEN p * 0.9::DOUBLE ELSE p END AS p2 FROM scored)"""
 
 
+def isotonic_sql(source: str) -> str:
+    """iso(x, m, w): at each score the greatest, over starts before it, of the least mean, over ends after it."""
+    return f"""points AS (SELECT p AS x, sum(y)::DOUBLE AS t, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY p) AS i FROM {source} GROUP BY p),
+sums AS (SELECT *, sum(t) OVER (ORDER BY i) AS ct, sum(w) OVER (ORDER BY i) AS cw FROM points),
+spans AS (SELECT a.i AS j, b.i AS k, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w) AS mean FROM sums a JOIN sums b ON b.i >= a.i),
+least_after AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM spans),
+iso AS (SELECT x, w, m FROM points JOIN (SELECT i, max(low) AS m FROM least_after GROUP BY i) USING (i))"""
+
+
 def register(r: Registry) -> None:
     li = lambda s, d: table(s, d, "lineitem")
     r.add("ex1_ablate_median", lambda s, d: _stats(E.ablate(li(s, d), "l_extendedprice", "median"), "l_extendedprice"),
@@ -87,7 +97,28 @@ def register(r: Registry) -> None:
     )
     even = lambda s, d: (scored_docs(s, d).filter("doc_id % 2 = 0"), scored_docs(s, d).filter("doc_id % 2 = 1"))
     r.add("ex9_calibration_platt", lambda s, d: rounded(E.calibration_counterfactual(*even(s, d), "y", "p", "PLATT"), 4))
-    r.add("ex9_calibration_isotonic", lambda s, d: rounded(E.calibration_counterfactual(*even(s, d), "y", "p", "ISOTONIC"), 4))
+    r.add(
+        "ex9_calibration_isotonic",
+        lambda s, d: rounded(E.calibration_counterfactual(*even(s, d), "y", "p", "ISOTONIC"), 4),
+        f"""WITH {SCORED_DOCS}, calib AS (SELECT * FROM scored WHERE doc_id % 2 = 1), {isotonic_sql('calib')}, held AS (SELECT * FROM scored WHERE doc_id % 2 = 0),
+        lower_end AS (SELECT h.doc_id, x, m FROM held h ASOF LEFT JOIN iso ON h.p >= iso.x), upper_end AS (SELECT h.doc_id, x, m FROM held h ASOF LEFT JOIN iso ON h.p <= iso.x),
+        fitted AS (SELECT h.doc_id, h.y, CASE WHEN l.x IS NULL THEN u.m WHEN u.x IS NULL OR l.x = u.x THEN l.m ELSE l.m + (u.m - l.m) * (h.p - l.x) / (u.x - l.x) END AS p
+          FROM held h JOIN lower_end l USING (doc_id) JOIN upper_end u USING (doc_id)),
+        {cal_sql('held', 'held_')}, {cal_sql('fitted', 'fitted_')}, b AS (SELECT {BRIER} AS v FROM held), a AS (SELECT {BRIER} AS v FROM fitted)
+        SELECT 'ISOTONIC' AS method, {r6('e0.ece', 'baseline_ece', 4)}, {r6('e1.ece', 'candidate_ece', 4)}, {r6('e1.ece - e0.ece', 'ece_delta', 4)}, {r6('b.v', 'baseline_brier', 4)},
+        {r6('a.v', 'candidate_brier', 4)}, {r6('a.v - b.v', 'brier_delta', 4)} FROM held_ece e0, fitted_ece e1, a, b""",
+    )
+    r.add(
+        "ex9_isotonic_blocks",
+        lambda s, d: rounded(I.isotonic_blocks(scored_docs(s, d), "y", "p", slice_rows=64)),
+        f"""WITH {SCORED_DOCS}, {isotonic_sql('scored')} SELECT {r6('min(x)', 'lo')}, {r6('max(x)', 'hi')}, {r6('m', 'mean')}, sum(w)::DOUBLE AS weight FROM (SELECT x, w, round(m, 12) AS m FROM iso) GROUP BY m""",
+    )
+    r.add(
+        "ex9_isotonic_blocks_lines",
+        lambda s, d: rounded(I.isotonic_blocks(scored_lines(s, d).withColumn("q", 1 - F.col("p")), "y", "q")),
+        f"""WITH {SCORED_LINES}, turned AS (SELECT 1 - p AS p, y FROM scored), {isotonic_sql('turned')} SELECT {r6('min(x)', 'lo')}, {r6('max(x)', 'hi')}, {r6('m', 'mean')}, sum(w)::DOUBLE AS weight
+        FROM (SELECT x, w, round(m, 12) AS m FROM iso) GROUP BY m""",
+    )
     f1 = lambda k: f"CASE WHEN 2 * sum(({k} = 1 AND y = 1)::INT) + sum(({k} <> y)::INT) > 0 THEN 2.0::DOUBLE * sum(({k} = 1 AND y = 1)::INT) / (2 * sum(({k} = 1 AND y = 1)::INT) + sum(({k} <> y)::INT)) ELSE 0 END"
     acc = lambda k: f"avg(({k} = y)::INT::DOUBLE)"
     r.add(

@@ -36,11 +36,18 @@ BRIER = "avg((p - (y = 1)::INT) * (p - (y = 1)::INT))"
 AUC = "sum(pos * (lt_neg + neg / 2)) / max(tp_all * tn_all)"
 AP = "sum(pos * (tp_all - lt_pos) / ((tp_all - lt_pos) + (tn_all - lt_neg))) / max(tp_all)"
 EDGES = "[" + ", ".join(dbl(e) for e in P.grid(11)) + "]"
-CAL = f"""cb AS (SELECT least(len(list_filter({EDGES}, lambda e: e <= p)), 10) - 1 AS bin, count(*) AS n, avg(p) AS mp, avg((y = 1)::INT::DOUBLE) AS ob
-  FROM scored GROUP BY 1), sp AS (SELECT unnest(range(0, 10)) AS bin),
-cal AS (SELECT bin, {EDGES}[bin + 1] AS lo, {EDGES}[bin + 2] AS hi, coalesce(n, 0) AS n, coalesce(mp, ({EDGES}[bin + 1] + {EDGES}[bin + 2]) / 2) AS mp,
-  coalesce(ob, 0) AS ob, coalesce(mp - ob, 0) AS delta FROM sp LEFT JOIN cb USING (bin)),
-ece AS (SELECT sum(n * abs(delta)) / sum(n) AS ece, max(abs(delta)) AS mce, sum(n * delta) / sum(n) AS signed FROM cal)"""
+
+
+def cal_sql(source: str = "scored", tag: str = "") -> str:
+    """cal and ece, their names and those of their steps with ``tag``."""
+    return f"""{tag}cb AS (SELECT least(len(list_filter({EDGES}, lambda e: e <= p)), 10) - 1 AS bin, count(*) AS n, avg(p) AS mp, avg((y = 1)::INT::DOUBLE) AS ob
+  FROM {source} GROUP BY 1), {tag}sp AS (SELECT unnest(range(0, 10)) AS bin),
+{tag}cal AS (SELECT bin, {EDGES}[bin + 1] AS lo, {EDGES}[bin + 2] AS hi, coalesce(n, 0) AS n, coalesce(mp, ({EDGES}[bin + 1] + {EDGES}[bin + 2]) / 2) AS mp,
+  coalesce(ob, 0) AS ob, coalesce(mp - ob, 0) AS delta FROM {tag}sp LEFT JOIN {tag}cb USING (bin)),
+{tag}ece AS (SELECT sum(n * abs(delta)) / sum(n) AS ece, max(abs(delta)) AS mce, sum(n * delta) / sum(n) AS signed FROM {tag}cal)"""
+
+
+CAL = cal_sql()
 TENDENCY = """CASE WHEN ece < 0.05 THEN 'WELL_CALIBRATED' WHEN signed > 0.03 THEN 'OVERCONFIDENT' WHEN signed < -0.03 THEN 'UNDERCONFIDENT' ELSE 'MIXED' END"""
 PRIOR = """-(r * ln(r) + (1 - r) * ln(1 - r))"""
 

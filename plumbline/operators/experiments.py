@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, col, finite, is_numeric, missing, ratio, uniform
 from ..functions.cumulative import quantiles
 from ..functions.tails import normal_p
+from .isotonic import isotonic_apply, isotonic_blocks
 from .performance import calibration_curve, calibration_summary, confusion, losses, threshold_grid
 from .predicates import valid_pairs
 from .quality import value_counts
@@ -155,24 +156,20 @@ def threshold_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     return threshold_grid(df, y, p, 21)
 
 
-FIT_CELLS = 100_000
-
-
 def calibrate(ev: DataFrame, calib: DataFrame, y: str, p: str, method: str = "PLATT", out: str = "p_calibrated") -> DataFrame:
-    """Refit the probabilities on an independent table of at least 20 rows."""
+    """Refit the probabilities on an independent table of at least 20 rows.
+
+    ``ISOTONIC`` is the exact step function over all distinct scores, with straight
+    lines between its blocks; ``PLATT`` a logistic curve over the log odds.
+    """
     calib = valid_pairs(calib, y, p)
     n = calib.count()
     if n < 20:
         raise ValueError("calibration needs at least 20 rows of an independent table")
     q = clamp(col(p), 1e-6, 1 - 1e-6)
     if method == "ISOTONIC":
-        from pyspark.ml.regression import IsotonicRegression
-
-        # The fit gathers its points on the driver: scores are first averaged in FIT_CELLS cells, weighted by their rows.
-        cell = F.least(F.floor(col(p) * FIT_CELLS), F.lit(FIT_CELLS - 1))
-        points = calib.groupBy(cell.alias("_c")).agg(F.avg(p).alias("_x"), F.avg(col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-        model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol=out).fit(points)
-        return model.transform(valid_pairs(ev, y, p).withColumn("_x", col(p))).drop("_x")
+        blocks = isotonic_blocks(calib.withColumn("_y", (col(y) == 1).cast("double")), "_y", p)
+        return isotonic_apply(valid_pairs(ev, y, p), blocks, p, out)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
