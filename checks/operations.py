@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import experiments as X
+from plumbline.operators import clusters as C
 from plumbline.operators import incidents as I
 from plumbline.operators import lifecycle as L
 from plumbline.operators import monitoring as M
 from plumbline.operators import reliability as R
 from plumbline.operators import temporal as T
+from plumbline.streaming.run import work_folder
 
 from .common import Registry, r6, rounded, stored, table
 from .history import ALERTS, OBS, alerts, experiments, observations, runs, tracks
@@ -261,6 +263,26 @@ def register(r: Registry) -> None:
         + CASE WHEN a.metric_name = b.metric_name THEN 10 ELSE 0 END + CASE WHEN a.last_run = b.last_run THEN 10 ELSE 0 END)::BIGINT AS score FROM p JOIN al a ON a.alert_id = head_id JOIN al b ON b.alert_id = p.alert_id""",
     )
     r.add("in2_incident_clusters", clusters, f"WITH RECURSIVE {CLUSTERS} SELECT alert_id, incident_key FROM cl")
+
+    def in_batches(s, d):
+        """Three batches, stored once: a GLOBAL alert of a later one may tie alerts of an earlier one."""
+        def build():
+            state, all_, folder = C.empty_clusters(s), order_alerts(s, d), work_folder(s, "clusters")
+            for i in range(3):
+                C.add_alerts(state, all_.filter(F.pmod(F.expr("cast(alert_id as long)"), F.lit(3)) == 2 - i)).save(folder)
+                state = C.load_clusters(s, folder, i + 1)
+            return state.clusters().withColumn("part", F.lit("clusters")).unionByName(
+                state.merges.filter("batch = 3").select(F.col("from_key").alias("alert_id"), F.col("into_key").alias("incident_key"), F.lit("merges").alias("part")))
+
+        return stored(s, d, "cluster_batches", build)
+
+    r.add("in2_incident_clusters_batches", lambda s, d: in_batches(s, d).filter("part = 'clusters'").select("alert_id", "incident_key"),
+          f"WITH RECURSIVE {CLUSTERS} SELECT alert_id, incident_key FROM cl")
+    earlier = CLUSTERS[len(ALERT_SQL):]
+    earlier = ALERT_SQL.rstrip()[:-1] + " WHERE o_orderkey % 3 <> 0)" + earlier
+    r.add("in9_cluster_merges", lambda s, d: in_batches(s, d).filter("part = 'merges'").groupBy("incident_key").agg(F.count("*").alias("merged")),
+          f"""SELECT incident_key, count(DISTINCT old_key) - 1 AS merged FROM (WITH RECURSIVE {CLUSTERS} SELECT alert_id, incident_key FROM cl) w
+          JOIN (WITH RECURSIVE {earlier} SELECT alert_id, incident_key AS old_key FROM cl) e USING (alert_id) GROUP BY 1 HAVING count(DISTINCT old_key) > 1""")
     r.add("in3_incident_identity", lambda s, d: identified(s, d).withColumn("modules", F.concat_ws(",", "modules")),
           f"""WITH RECURSIVE {CLUSTERS} SELECT incident_key, lineage_id, alerts, primary_target, modules, max_consecutive, escalating, severity, category, fingerprint,
           'INC-' || upper(substring(fingerprint, 1, 4)) AS code, title FROM inc""")

@@ -31,29 +31,38 @@ def pair_score(a: str = "a", b: str = "b") -> Column:
     return F.least(total, F.lit(100))
 
 
-def alert_links(alerts: DataFrame) -> DataFrame:
-    """alert_id, hub: alerts that share a hub are related, so no pairs are formed.
-
-    Hubs are the target, the investigation and the issue track. Without those a
-    pair reaches 50 points only if first run, module, metric and last run all
-    agree; two different specific targets never relate that way, so this hub
-    counts only where a GLOBAL alert takes part, which then ties all its members.
-    """
+def hub_cells() -> Column:
+    """The hubs of an alert row: array of ``hub``, ``context`` (ties only with a GLOBAL alert) and ``anchor`` (this alert is one)."""
     specific = F.lower(F.trim(F.coalesce("target_key", F.lit("global"))))
     is_global = specific == "global"
     full = [F.col("first_run"), F.col("source_module"), F.col("metric_name"), F.col("last_run")]
     present = full[0].isNotNull() & full[1].isNotNull() & full[2].isNotNull() & full[3].isNotNull()
-    hub = lambda tag, *cs: F.concat_ws("|", F.lit(tag), F.col("lineage_id"), *[F.lower(c.cast("string")) for c in cs])
+
+    def hub(tag: str, *cs: Column) -> Column:
+        name = F.concat_ws("|", F.lit(tag), F.col("lineage_id"), *[F.lower(c.cast("string")) for c in cs])
+        return F.struct(name.alias("hub"), F.lit(tag == "context").alias("context"), is_global.alias("anchor"))
+
     cells = F.array(
         F.when(~is_global, hub("target", specific)),
         F.when(F.coalesce(F.trim("investigation") != "", F.lit(False)), hub("investigation", F.col("investigation"))),
         F.when(F.col("track").isNotNull(), hub("track", F.col("track"))),
         F.when(present, hub("context", *full)),
     )
-    links = alerts.select("alert_id", is_global.alias("_g"), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("hub"))
-    anchored = links.filter(F.col("hub").startswith("context|")).groupBy("hub").agg(F.bool_or("_g").alias("_ok")).filter("_ok").select("hub")
-    plain = links.filter(~F.col("hub").startswith("context|")).select("alert_id", "hub")
-    return plain.unionByName(links.join(anchored, "hub", "left_semi").select("alert_id", "hub"))
+    return F.array_compact(cells)
+
+
+def alert_links(alerts: DataFrame) -> DataFrame:
+    """alert_id, hub: alerts that share a hub are related, so no pairs are formed.
+
+    Hubs are the target, the investigation and the issue track. Without those a
+    pair reaches 50 points only if first run, module, metric and last run all
+    agree; two different specific targets never relate that way, so this hub
+    counts only where a GLOBAL alert takes part, which then ties all its members.
+    """
+    links = alerts.select("alert_id", F.explode(hub_cells()).alias("c")).select("alert_id", "c.hub", "c.context", "c.anchor")
+    anchored = links.filter("context").groupBy("hub").agg(F.bool_or("anchor").alias("_ok")).filter("_ok").select("hub")
+    plain = links.filter(~F.col("context")).select("alert_id", "hub")
+    return plain.unionByName(links.filter("context").join(anchored, "hub", "left_semi").select("alert_id", "hub"))
 
 
 def hub_scores(alerts: DataFrame) -> DataFrame:
