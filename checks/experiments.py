@@ -65,7 +65,8 @@ def register(r: Registry) -> None:
     r.add("ex4_standardize", lambda s, d: _stats(E.standardize(li(s, d), "l_quantity"), "l_quantity"),
           _sql("(l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_samp(l_quantity) FROM lineitem)", "lineitem"))
     r.add("ex5_inject_missing", lambda s, d: E.inject_missing(li(s, d), "l_tax", 0.2, 42, KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_tax").isNull()).alias("missing")))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_tax").isNull()).alias("missing")),
+        f"""SELECT count(*) AS n, count(*) FILTER (('0x' || substr(md5(concat_ws('|', '42', 'l_tax', {', '.join(KEY)})), 1, 13))::BIGINT / {16**13}.0::DOUBLE < 0.2) AS missing FROM lineitem""")
     cells = """count(*) AS n, sum((y = 1)::INT)::BIGINT AS positives, sum((b <> c)::INT)::BIGINT AS changed, sum((b = 0 AND c = 0)::INT)::BIGINT AS n00,
         sum((b = 0 AND c = 1)::INT)::BIGINT AS n01, sum((b = 1 AND c = 0)::INT)::BIGINT AS n10, sum((b = 1 AND c = 1)::INT)::BIGINT AS n11"""
     r.add(

@@ -265,4 +265,5 @@ def register(r: Registry) -> None:
     r.add(
         "pr9_seeded_sample",
         lambda s, d: P.seeded_sample(table(s, d, "orders"), 1000, 42, "o_orderkey"),
+        "SELECT * FROM orders ORDER BY substr(md5(concat_ws('|', '42', o_orderkey)), 1, 13), o_orderkey LIMIT 1000",
     )

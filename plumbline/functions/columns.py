@@ -70,6 +70,12 @@ def uniform(*keys: Column | int | str) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2**53)).cast("double") / F.lit(float(2**53))
 
 
+def digest_uniform(seed: int, *parts: Column) -> Column:
+    """Reproducible uniform in [0, 1) from the first 52 bits of an MD5 over seed and parts, which other engines can draw too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
 def gaussian(*keys: Column | int | str) -> Column:
     """Reproducible standard normal value (Box-Muller over two hash uniforms)."""
     first = F.lit(1.0) - uniform(*keys, "radius")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, col, finite, is_numeric, missing, ratio, uniform
+from ..functions.columns import clamp, col, digest_uniform, finite, is_numeric, missing, ratio, uniform
 from ..functions.cumulative import quantiles
 from ..functions.tails import normal_p
 from .isotonic import isotonic_apply, isotonic_blocks
@@ -78,8 +78,8 @@ def standardize(df: DataFrame, name: str) -> DataFrame:
 
 
 def inject_missing(df: DataFrame, name: str, rate: float, seed: int, key: Sequence[str]) -> DataFrame:
-    """Blank cells by hash of the row key, so a rerun blanks the same rows; at least one when rate > 0."""
-    draw = uniform(*[col(k) for k in key], name, seed)
+    """Blank cells by a digest of the row key, so a rerun blanks the same rows; at least one when rate > 0."""
+    draw = digest_uniform(seed, F.lit(name), *[col(k) for k in key])
     hit = draw < rate
     if rate > 0:
         lowest = df.agg(F.min(draw).alias("d")).first()["d"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, count_if, finite, missing, numeric_columns, ratio
+from ..functions.columns import col, count_if, digest_uniform, finite, missing, numeric_columns, ratio
 
 # Column names tried in order.
 PREDICTION_COLUMNS = ["pred_prob", "prediction", "probability", "score", "pred", "y_pred_prob", "y_score"]
@@ -103,6 +103,6 @@ def last_n_runs(runs: DataFrame, n: int | None, lineage: str = "lineage_id", ord
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """Fixed-size random rows that do not depend on partitioning: smallest hashes of the key."""
+    """Fixed-size random rows that do not depend on partitioning: smallest digests of seed and key."""
     picked = [col(k) for k in keys] or [col(c) for c in df.columns]
-    return df.orderBy(F.xxhash64(*picked, F.lit(seed)), *picked).limit(n)
+    return df.orderBy(digest_uniform(seed, *picked), *picked).limit(n)

@@ -13,6 +13,8 @@ from ..functions.findings import health
 from ..operators import drift, explain, fairness, forensics, leakage, performance, quality, robustness
 from ..operators.predicates import PREDICTION_COLUMNS, PROTECTED_COLUMNS, map_binary, numeric_features, resolve_column
 from ..operators.scoring import LinearModel, Model, attribute
+from ..operators.trees import TreeEnsemble
+from ..session import cut_lineage
 from ..sources.tables import write_partition
 
 
@@ -120,12 +122,14 @@ def run_audit(run_id: str, evaluation: DataFrame, config: AuditConfig, baseline:
 
     def explained():
         rows, key = labelled(), list(config.key)
-        explainer = config.explainer or (config.model if isinstance(config.model, LinearModel) else None)
+        explainer = config.explainer or (config.model if isinstance(config.model, (LinearModel, TreeEnsemble)) else None)
+        permuted = cut_lineage(explain.permutation_importance(rows, config.model, "_label", inputs, key, repeats=3, loader=config.loader))
+        importance, agreement = explain.importance_shares(permuted), None
         if explainer is not None:
-            importance = explain.global_attribution(attribute(rows, explainer, inputs, key))
-        else:
-            importance = explain.importance_shares(explain.permutation_importance(rows, config.model, "_label", inputs, key, loader=config.loader))
-        found = explain.explain_findings(importance)
+            importance = cut_lineage(explain.global_attribution(attribute(rows, explainer, inputs, key)))
+            agreement = explain.rank_agreement(importance, permuted)
+        spread = quality.numeric_summary(rows, inputs).select("feature", "std")
+        found = explain.explain_findings(importance, agreement, spread)
         add("EXPLAINABILITY", found, explain.explain_report(found), explain.concentration(importance), importance)
 
     needs = {"DATA_QUALITY": (), "LEAKAGE": (), "DRIFT": ("baseline",), "PERFORMANCE": ("prediction",), "BIAS": ("prediction", "protected"), "ERROR_FORENSICS": ("prediction",),
