@@ -131,6 +131,11 @@ def register(r: Registry) -> None:
         lambda s, d: rounded(B.boundary_features(B.boundary_distances(lines(s, d), MODEL, FEATURES, KEY))),
         f"WITH {best} SELECT feature, count(*) AS flips, {r6('quantile_cont(distance, 0.5)', 'median_distance')} FROM dist WHERE feature IS NOT NULL GROUP BY 1",
     )
+    r.add(
+        "rb4_boundary_python",
+        lambda s, d: rounded(B.boundary_features(B.boundary_distances(lines(s, d), by_hand, FEATURES, KEY))),
+        f"WITH {best} SELECT feature, count(*) AS flips, {r6('quantile_cont(distance, 0.5)', 'median_distance')} FROM dist WHERE feature IS NOT NULL GROUP BY 1",
+    )
     r.add("rb5_missingness_stress", lambda s, d: rounded(B.missingness_stress(lines(s, d), MODEL, FEATURES, KEY, "y")))
     r.add("rb6_subgroup_robustness", lambda s, d: rounded(B.subgroup_robustness(lines(s, d), MODEL, FEATURES, KEY, "l_linestatus")))
 

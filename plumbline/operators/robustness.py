@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, count_if, gaussian, ratio, uniform
 from ..functions.cumulative import cumulative_counts, exact_quantiles
 from ..functions.findings import Rule, apply_rules, health
 from .performance import _auc
 from .scoring import LinearModel, Model, score
+from .trees import TreeEnsemble
 
 # Search distances in feature scales, noise and drop-out levels.
 FACTORS = [0.05, 0.10, 0.20, 0.35, 0.50, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -116,15 +120,59 @@ def feature_sensitivity(
     return out.orderBy(F.desc("flip_rate"), F.desc("mean_shift"), "feature")
 
 
+def search_batch(predict, x: pd.DataFrame, factors: Sequence[float], scales: Sequence[float], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the feature (-1: none) and distance (NaN: none) of the smallest flipping move of each row of a batch."""
+    def positive(rows: pd.DataFrame) -> np.ndarray:
+        got = np.asarray(predict(rows), dtype=float)
+        return got[:, 1] if got.ndim == 2 else got
+
+    which, distance = np.full(len(x), -1), np.full(len(x), np.nan)
+    if len(x):
+        up = positive(x) >= t
+        open_ = np.arange(len(x))
+        for v in sorted(factors):
+            for i, (name, scale) in enumerate(zip(x.columns, scales)):
+                if not len(open_):
+                    return which, distance
+                rows = x.iloc[np.concatenate([open_, open_])].reset_index(drop=True)
+                rows[name] += np.repeat([v * scale, -v * scale], len(open_))
+                crossed = ((positive(rows) >= t).reshape(2, -1) != up[open_]).any(axis=0)
+                which[open_[crossed]], distance[open_[crossed]] = i, v
+                open_ = open_[~crossed]
+    return which, distance
+
+
+def _searched(df: DataFrame, model, features: list[str], key: list[str], factors: list[float], scales: list[float], t: float, loader: bool) -> DataFrame:
+    keys = [f.name for f in df.schema if f.name in set(key)]
+    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)],
+                           T.StructField("feature", T.StringType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = model() if loader else model
+        for batch in batches:
+            x = batch[[f"x{i}" for i in range(len(features))]].astype(float).set_axis(features, axis=1)
+            which, distance = search_batch(predict, x, factors, scales, t)
+            out = batch[[f"k{i}" for i in range(len(keys))]].copy()
+            out["feature"] = [features[i] if i >= 0 else None for i in which]
+            out["distance"] = pd.Series(distance, index=out.index, dtype="float64").where(which >= 0, None)
+            yield out
+
+    cells = [col(k).alias(f"k{i}") for i, k in enumerate(keys)] + [col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    found = df.select(*cells).mapInPandas(run, schema)
+    distance = F.when(F.col("feature").isNotNull(), F.col("distance")).alias("distance")
+    return found.select(*[F.col(f"k{keys.index(k)}").alias(k) for k in key], "feature", distance)
+
+
 def boundary_distances(
     df: DataFrame, model: Model, features: Sequence[str], key: Sequence[str], factors: Sequence[float] = FACTORS,
     t: float = 0.5, loader: bool = False, scales: dict[str, float] | None = None,
 ) -> DataFrame:
     """Per row the smallest single-feature move that flips the decision: key, feature, distance (NULL if none).
 
-    A column model is searched inside the row, without exploding or shuffling. With
-    a Python model all moves of a row are produced in the same task, so the minimum
-    is complete before anything is shuffled.
+    Nothing is shuffled. A linear model is searched inside the row. A Python model
+    is asked in the Arrow batches of the rows, factor by factor and feature by
+    feature, and only for rows that no nearer move has flipped. Of several features
+    at the same distance the first one counts.
     """
     scales = scales or scale_map(df, features)
     if isinstance(model, LinearModel):
@@ -144,6 +192,8 @@ def boundary_distances(
             F.get(F.array(*[F.lit(f) for f in features]), F.col("_move") % len(features)).alias("feature"),
             F.get(F.array(*[F.lit(float(v)) for v in factors]), F.floor(F.col("_move") / len(features)).cast("int")).alias("distance"),
         )
+    if not isinstance(model, TreeEnsemble):
+        return _searched(df, model, list(features), list(key), list(factors), [float(scales[f]) for f in features], t, loader)
     variants = []
     for i, f in enumerate(features):
         for v in factors:
