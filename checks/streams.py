@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources import tables as S
 from plumbline.streaming.alerts import alert_stream
+from plumbline.streaming.labels import delayed_error_rates, labelled_stream
 from plumbline.streaming.monitor import monitor_stream, score_shares
 from plumbline.streaming.run import run_available, work_folder
 
@@ -48,6 +49,26 @@ def register(r: Registry) -> None:
         SELECT *, date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts) + INTERVAL 1 DAY FROM eb), {agg}""",
     )
 
+    def delayed(s, d):
+        """Labels come (event_id % 200) hours after their event, none for every seventh; five days are waited for."""
+        ev = events_stream(s, d)
+        preds = ev.select("event_id", "ts", (F.col("value") >= 50).cast("int").alias("predicted"))
+        labels = events_stream(s, d).filter("event_id % 7 <> 0").select(
+            "event_id", (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 200).cast("int"))).alias("label_ts"), (F.col("event_type") == "error").cast("int").alias("label"))
+        rows = run_available(labelled_stream(preds, labels, "event_id", "ts", "label_ts", "label", "5 days"), "labelled")
+        out = delayed_error_rates(rows, "ts", "label", F.col("predicted"))
+        return rounded(out.withColumns({c: F.col(c).cast("string") for c in ("window_start", "window_end")}))
+
+    r.add(
+        "ss1_delayed_labels",
+        delayed,
+        f"""WITH ev AS (SELECT event_id, ts, (value >= 50)::INT AS predicted, (event_type = 'error')::INT AS y, event_id % 7 <> 0 AND event_id % 200 <= 120 AS comes FROM events),
+        seen AS (SELECT * FROM ev WHERE comes OR ts + INTERVAL 5 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)
+        SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+        count(*) AS n, count(*) FILTER (comes) AS labelled, count(*) FILTER (comes AND predicted <> y) AS errors,
+        {r6('(count(*) FILTER (comes AND predicted <> y))::DOUBLE / nullif(count(*) FILTER (comes), 0)', 'error_rate')} FROM seen GROUP BY 1, 2""",
+    )
+
     def lifecycle(s, d):
         v = F.col("value")
         sev = F.when(v > 120, F.lit("CRITICAL")).when(v > 60, F.lit("HIGH")).when(v > 20, F.lit("MEDIUM"))
