@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.cumulative import quantiles
 from plumbline.operators import predicates as P
 from plumbline.operators import quality as Q
+from plumbline.operators import sketches as K
+from plumbline.session import cut_lineage
 
 from .common import MESSY, MESSY_COLUMNS, MESSY_NUMERIC, Registry, dbl, messy_orders, r6, rounded, table
 
@@ -262,6 +265,25 @@ def register(r: Registry) -> None:
         UNION ALL SELECT 'l_quantity', {r6('avg(l_quantity)', 'm')} FROM lineitem UNION ALL SELECT 'l_extendedprice', {r6('avg(l_extendedprice)', 'm')} FROM lineitem
         UNION ALL SELECT 'l_discount', {r6('avg(l_discount)', 'm')} FROM lineitem UNION ALL SELECT 'l_tax', {r6('avg(l_tax)', 'm')} FROM lineitem""",
     )
+    def sketched(s, d):
+        """Sketches of three partitions, merged, next to exact results: counts as they are, estimates by whether they keep their bound."""
+        rows = table(s, d, "lineitem")
+        names = ["l_quantity", "l_extendedprice", "l_shipdate"]
+        parts = cut_lineage(K.profile_sketches(rows, names, F.col("l_returnflag")))
+        got = K.profile_estimates(K.merge_profiles(parts))
+        exact = Q.distinct_counts(rows, names)
+        around = quantiles(rows, {c: F.col(c).cast("double") for c in names[:2]}, {"low": 0.48, "high": 0.52}).drop("n")
+        both = got.join(exact, "feature").join(around, "feature", "left")
+        return both.select(
+            "feature", "n", "missing", (F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 0.06 * F.col("distinct_count")).alias("distinct_holds"),
+            F.coalesce(F.col("median").between(F.col("low"), F.col("high")), F.lit(True)).alias("median_holds"))
+
+    r.add(
+        "dq_profile_sketches",
+        sketched,
+        " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, count(*) - count({c}) AS missing, true AS distinct_holds, true AS median_holds FROM lineitem"
+                           for c in ("l_quantity", "l_extendedprice", "l_shipdate")),
+    )
     r.add(
         "pr9_seeded_sample",
         lambda s, d: P.seeded_sample(table(s, d, "orders"), 1000, 42, "o_orderkey"),
