@@ -158,9 +158,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added() -> tuple[tuple[str, int], ...]:
+    """Strings that byte_bpe_50k.json gives ids of their own."""
+    import public_tokenizers
+
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query("op8_packing")
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(table(spark, sf, "documents").select("doc_id", "source", "text"), vocabulary())
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "source", "text"), vocabulary(), added=added())
 
 
 @_query("op4_language_id")

@@ -31,6 +31,26 @@ def test_ranks_give_the_ids_of_the_tokenizers_file(spark):
         assert list(ids) == reference(text)
 
 
+SPECIAL = ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> b", "<|endoftext|> at both ends <|endoftext|>", "wo<|endoftext|>rd don'<|endoftext|>t",
+           " <|endoftext|>\n\n<|endoftext|>  x", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>", "12<|endoftext|>34 é<|endoftext|>漢"]
+
+
+def test_added_tokens_follow_the_file_with_its_own_settings(spark):
+    """Contract ids: the tokenizers file as it is, add_special_tokens=False, no other setting."""
+    added, plain = packing.added_tokens(JSON), Tokenizer.from_file(JSON)
+    assert added == (("<|endoftext|>", 50256),)
+    texts = SPECIAL + HARD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert want[2] == [64, 220, 50256, 275, 0]
+    assert [list(x) for x in packing.encode(texts, RANKS, added)] == want
+    assert [list(x) for x in packing.encode(texts, JSON, added)] == want
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(SPECIAL)], "doc_id long, source string, text string")
+    got = defaultdict(list)
+    for r in packing.pack(rows, RANKS, length=8, with_ids=True, added=added).orderBy("start").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert [got[i] for i in range(len(SPECIAL))] == want[:len(SPECIAL)]
+
+
 @pytest.mark.parametrize("shares", [None, {"a": 0.7, None: 0.3}])
 def test_pieces_cover_every_id_once_and_windows_keep_the_mixture(spark, shares):
     words = "of the tion and with reading an other thing".split()
