@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_templates, packing, quality_rules, simhash
-from plumbline.llm.queries import vocabulary
+from plumbline.llm.queries import added, vocabulary
 from plumbline.llm.storage import stored, table
 
 
@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences, mixed by source."""
-    return packing.pack(docs.select("doc_id", "source", "text"), vocabulary())
+    return packing.pack(docs.select("doc_id", "source", "text"), vocabulary(), added=added())
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packed)]
