@@ -196,22 +196,33 @@ def mann_kendall(obs: DataFrame, slices: int = SLICES) -> DataFrame:
     values = cumulative_counts(v, SERIES, "v", {"k": F.lit(1).cast("long")}, slices, bounded_keys=False)
     k = F.col("k").cast("double")
     per = values.groupBy(*SERIES).agg(F.max("tot_k").alias("n"), F.sum(k * (k - 1) * (k * 2 + 5)).alias("_ties"))
-    ranked = v.join(values.select(*SERIES, "v", F.col("lt_k").alias("rank"), F.col("tot_k").alias("n")), [*SERIES, "v"]).filter("n >= 5")
+    return kendall_test(per.join(ascents(v, 5, slices, values), SERIES, "left"))
+
+
+def ascents(v: DataFrame, least: int, slices: int = SLICES, values: DataFrame | None = None) -> DataFrame:
+    """Ascending less descending pairs ``s`` per series of ``least`` points or more."""
+    if values is None:
+        values = cumulative_counts(v, SERIES, "v", {"k": F.lit(1).cast("long")}, slices, bounded_keys=False)
+    ranked = v.join(values.select(*SERIES, "v", F.col("lt_k").alias("rank"), F.col("tot_k").alias("n")), [*SERIES, "v"]).filter(F.col("n") >= least)
     bits = F.length(F.bin(F.col("n")))
     spread = ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), bits - 1)))
     high = F.expr("shiftright(rank, _bit + 1)")
     one = F.expr("shiftright(rank, _bit) & 1")
     keyed = spread.select(*SERIES, "run_index", "_bit", high.alias("_high"), one.alias("_up"), (F.lit(1) - one).alias("_down"))
     counted = running_totals(keyed, [*SERIES, "_bit", "_high"], "run_index", ["_up", "_down"], slices, bounded_keys=False)
-    s = counted.groupBy(*SERIES).agg(
+    return counted.groupBy(*SERIES).agg(
         F.sum(F.when(F.col("_up") == 1, F.col("lt__down")).otherwise(-F.col("lt__up"))).alias("s")
     )
+
+
+def kendall_test(per: DataFrame) -> DataFrame:
+    """tau, z, p and trend from ``n``, ``_ties`` and ``s`` per series."""
     n = F.col("n").cast("double")
     var = F.greatest((n * (n - 1) * (n * 2 + 5) - F.col("_ties")) / 18, F.lit(1e-9))
     z = F.coalesce((F.col("s") - F.signum(F.col("s").cast("double"))) / F.sqrt(var), F.lit(0.0))
     enough = F.col("n") >= 5
     return (
-        per.join(s, SERIES, "left")
+        per.withColumn("s", F.when(enough, F.col("s")))
         .select(
             *SERIES, "n", F.coalesce("s", F.lit(0)).cast("long").alias("s"),
             F.coalesce(F.col("s") * 2 / (n * (n - 1)), F.lit(0.0)).alias("tau"),
@@ -230,7 +241,11 @@ def mann_kendall(obs: DataFrame, slices: int = SLICES) -> DataFrame:
 
 def change_point(obs: DataFrame, min_split: int = 2, min_shift: float = 0.05) -> DataFrame:
     """The split with the largest weighted mean shift per series, where the shift reaches ``min_shift``."""
-    p = positions(obs)
+    return best_split(positions(obs), min_split, min_shift)
+
+
+def best_split(p: DataFrame, min_split: int, min_shift: float) -> DataFrame:
+    """The change point from points with their prefix sums and totals."""
     k, n = F.col("pos").cast("double"), F.col("n").cast("double")
     before, after = F.try_divide(F.col("s1"), k), F.try_divide(F.col("t1") - F.col("s1"), n - k)
     shift = after - before
@@ -279,12 +294,17 @@ def persistence(seq: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
     first four ranks decide it; streaks are distances to the last point that
     breaks them. Everything is one aggregate.
     """
+    return classify_streaks(streaks(seq, keys), keys)
+
+
+def streaks(seq: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
+    """What decides the class: ends, first ranks, last points that break a streak, elevated points."""
     prepared = seq.withColumn("_one", F.lit(1))
     p = running_totals(prepared, keys, "run_index", ["_one"], SLICES, bounded_keys=False)
     pos, n, r = F.col("lt__one"), F.col("tot__one"), F.col("rank")
     up = r >= 2
     last = lambda c: F.coalesce(F.max(F.when(c, pos)), F.lit(-1))
-    agg = p.groupBy(*keys).agg(
+    return p.groupBy(*keys).agg(
         F.max("tot__one").alias("n"),
         F.max(F.when(pos == n - 1, r)).alias("cur"),
         F.coalesce(F.max(F.when(pos == n - 2, r)), F.max(F.when(pos == n - 1, r))).alias("prev"),
@@ -296,6 +316,9 @@ def persistence(seq: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
         F.min(F.when(up, pos)).alias("first_up"),
         F.max(F.when(up, pos)).alias("last_up"),
     )
+
+
+def classify_streaks(agg: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
     cur = F.col("cur")
     same = F.when(cur == 0, F.col("not0")).otherwise(F.col("not1"))
     streak = F.col("n") - 1 - F.when(cur >= 2, F.col("not_up")).otherwise(same)
